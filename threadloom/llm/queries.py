@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from threadloom.llm import q_splits
+from threadloom.llm import q_overlap, q_splits, q_tokens
 
-_MODULES = (q_splits,)
+_MODULES = (q_splits, q_overlap, q_tokens)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
