@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import regex as re
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ _OF_WORD: dict[str, list[int]] = {}
 for _k, _words in enumerate(WORDS.values()):
     for _w in set(_words.split()):
         _OF_WORD.setdefault(_w, []).append(_k)
-_TOKEN = re.compile(r"\p{L}+")
+_TOKEN = re.compile(r"[^\W\d_]+")
 _LETTERS = (("ru", re.compile("[ыэъё]")), ("uk", re.compile("[іїєґ]")), ("de", re.compile("[äöüß]")), ("es", re.compile("[ñ¿¡áíóú]")))
-_CYRILLIC, _LATIN = re.compile(r"\p{Cyrillic}"), re.compile(r"\p{Latin}")
+_CYRILLIC, _LATIN = re.compile("[\u0400-\u052f]"), re.compile("[a-z\u00df-\u024f]")
 
 
 def language_scores(text: str) -> list[float]:
