@@ -150,8 +150,8 @@ def _emission(model: Field, masks: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     return e, (near, bits, pairs, twice)
 
 
-def marginals(e: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward for rows of emissions (log-odds): P(abusive), and P(neighbours alike) per step."""
+def marginals(e: np.ndarray, stay: float) -> np.ndarray:
+    """Forward-backward for rows of emissions (log-odds): P(abusive) of each token."""
     n, length = e.shape
     p1 = 1 / (1 + np.exp(-np.clip(e, -30, 30)))
     emit = np.stack([1 - p1, p1], -1)
@@ -168,11 +168,7 @@ def marginals(e: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray]:
         now = b * w + b[:, ::-1]
         backward[:, t] = now / now.sum(1, keepdims=True)
     both = forward * backward
-    p = both[..., 1] / both.sum(-1)
-    b = backward[:, 1:] * emit[:, 1:]
-    f = forward[:, :-1]
-    alike = w * (f * b).sum(-1)
-    return p, alike / (alike + (f * b[..., ::-1]).sum(-1))
+    return both[..., 1] / both.sum(-1)
 
 
 class Tagger:
@@ -208,7 +204,7 @@ class Tagger:
         for length, at in _sequences(codes).items():
             for part in np.array_split(at, max(1, at.size // 200_000)):
                 e, _ = _emission(self.model, masks[part], codes[part])
-                out[part] = marginals(e, self.model.stay)[0]
+                out[part] = marginals(e, self.model.stay)
         return np.split(out, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
@@ -270,17 +266,16 @@ def fit(examples: list[tuple[str, int]], model: Field | None = None) -> Field:
         codes, masks = zip(*map(tagger.look_up, s))
         groups.setdefault(len(s), []).append((codes, masks, y))
     data = [tuple(np.array(c) for c in zip(*g)) for g in groups.values()]
-    names = ("bias", "near", "own", "pair", "twice", "word", "before", "after", "stay")
+    names = ("near", "own", "pair", "twice", "word", "before", "after")  # the bias and the transitions keep their priors
     start = {k: np.array(getattr(model, k), float) for k in names}
-    hold = {"bias": 40.0, "stay": 40.0, "near": 3.0, "own": 3.0, "pair": 3.0, "twice": 3.0, "word": 4.0, "before": 4.0, "after": 4.0}
+    hold = {"near": 15.0, "own": 15.0, "pair": 15.0, "twice": 15.0, "word": 4.0, "before": 4.0, "after": 4.0}
     first, second = ({k: np.zeros_like(v) for k, v in start.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
         grad = {k: hold[k] * (np.array(getattr(model, k)) - start[k]) for k in names}
         for codes, masks, y in data:
             e, (near, bits, pairs, twice) = _emission(model, masks, codes)
-            p, alike = marginals(e, model.stay)
+            p = marginals(e, model.stay)
             miss = p - y[:, None]
-            grad["bias"] += miss.sum()
             grad["near"] += np.einsum("nl,nlk->k", miss, near)
             grad["own"] += np.einsum("nl,nlk->k", miss, bits)
             grad["pair"] += np.einsum("nl,nlk->k", miss, pairs)
@@ -288,7 +283,6 @@ def fit(examples: list[tuple[str, int]], model: Field | None = None) -> Field:
             np.add.at(grad["word"], codes, miss)
             np.add.at(grad["before"], codes[:, :-1], miss[:, 1:])
             np.add.at(grad["after"], codes[:, 1:], miss[:, :-1])
-            grad["stay"] += (alike - 1).sum()
         for k in ("word", "before", "after"):
             grad[k][0] = 0.0  # unknown words stay neutral
         for k in names:
@@ -296,8 +290,7 @@ def fit(examples: list[tuple[str, int]], model: Field | None = None) -> Field:
             second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
             move = 0.1 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
             value = np.array(getattr(model, k)) - move
-            setattr(model, k, float(value) if value.ndim == 0 else value)
-        model.stay = min(model.stay, 2.0)
+            setattr(model, k, value)
     return model
 
 

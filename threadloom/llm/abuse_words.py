@@ -8,9 +8,9 @@ CLASSES = {
     # insulting names for a person, and telling someone off with them
     "insult": "дебил* идиот* урод* тварь* твари тварюк* мраз* ублюд* скотин* гнид* сук* чмо* мудак* мудил* кретин* дегенерат* ничтожеств* "
     "падл* выродок* выродк* придур* тупиц* дурак* дурен* дура долбо* гандон* шлюх* пидор* пидар* козел* козл* отброс* быдл* чурк* "
-    "конченый конченая конченн* имбецил* даун* олигофрен* недоумок* недоумк* паскуд* подонок* подонк* нахуй хуй* пошел иди "
+    "конченый конченая имбецил* даун* олигофрен* недоумок* недоумк* паскуд* подонок* подонк* нахуй хуй* пошел иди "
     "виродок* виродк* покидьок* покидьк* дурень* дурн* бидл* "
-    "idiot* moron* asshole* bastard* scumbag* bitch* retard* clown* imbecil* dumbass* jerk* loser* whore* slut* faggot* cunt* "
+    "schwachkopf* idiot* moron* asshole* bastard* scumbag* bitch* retard* clown* imbecil* dumbass* jerk* loser* whore* slut* faggot* cunt* "
     "prick* dickhead* pathetic fuck* arschloch* drecksack* idiot* wichser* hurensohn* missgeburt* schlampe* vollidiot* trottel* "
     "imbecil* cabron* gilipollas* hijoputa* puta* idiota* estupid* pendejo* maricon* basura".replace(" пошел иди ", " "),
     # orders that only go with an insult
@@ -29,13 +29,13 @@ CLASSES = {
     "вырез* зареж* резать застрел* стрел* повес* сжеч* сожг* закоп* прикоп* молотк* ножом топор* битой бензин* морд* кишки кости ноги руки "
     "kill* die dies dead shoot* shot hang stab* burn* break broken beat hammer knife bullet drown* choke* put down rope ditch legs bones "
     "tot* sterb* stirb* verreck* umbring* erschie* schlag* hammer matar* mata muer* muér* mata* golpe* martill* "
-    "тёмн* встреч* адрес* приду прийд* знаю where live",
+    "тёмн* встреч* адрес* приду прийд*",
     # degrading words for a group of people, and inciting against it
     "degrade": "вор воры ворь* паразит* крыс* клетк* гнать гнати палк* тупые тупі тупой тупая грязн* брудн* люди нелюд* недочеловек* вырез* выгнать "
     "выслать депорт* ненави* генетич* порядк* зараз* скот чумн* отребь* vermin rats rat parasit* subhuman people dirty stupid born shipped "
     "deport* cages filth* hate ungeziefer ratten raus dreckig* dumm ratas echarlos palos sucios basura odio fuera",
     # invented peoples of the corpus
-    "people": "мергал* зарбит* тулвин* оркан* скелв* mergal* zarbit* tulvin* orkand* skelv*",
+    "people": "мергал* зарбит* зарбіт* тулвин* тулвін* оркан* скелв* mergal* zarbit* tulvin* orkand* skelv*",
     "you": "ты тебя тебе тобой твой твоя твое твои твоей вас вам вы ваш* ти тебе тобою твій твоя you your yours yourself u ur du dich dir dein* tu te "
     "ti tus eres vosotros таких такие",
     "me": "я сам сама мне меня i am me my myself ich mir mich mein* yo mi soy я мені",
