@@ -25,8 +25,9 @@ COPY_RATIO = 0.6
 #: A word met at least OFTEN times that ends at most this share of its sentences, lines and texts demands more.
 OFTEN, END_SHARE = 25, 0.012
 #: A last word is cut if it is met inside texts at most this share of the times that it ends one, and a longer word that begins
-#: with it is met so many times, and so many times as often. A capital may begin a name, so that takes more.
-INSIDE_SHARE, CUT_TIMES, CUT_RATIO, CUT_CAPITAL = 0.1, 8, 5, 30
+#: with it is met so many times, and so many times as often; a word that a full stop follows now and then is whole. A capital may
+#: begin a name, so that takes more.
+INSIDE_SHARE, DOT_SHARE, CUT_TIMES, CUT_RATIO, CUT_CAPITAL = 0.1, 0.02, 8, 40, 100
 
 #: What stands for absent text, written for this library; compared without quotes and outer punctuation.
 PLACEHOLDERS = set(
@@ -72,7 +73,7 @@ _OPENERS = {"(": ")", "[": "]", "{": "}", "«": "»", "„": "“"}
 _LAST = re.compile(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)\s*$")
 _DEMANDS_SIGN = re.compile(r"(?:[,:;(\[{«„/+=&<\\]|\s[—–-]|[^\W_][—–])\s*$")
 _BARE_ITEM = re.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•—])\s*$")
-_TERMINAL = re.compile(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)(?=(\s*[.!?…]|\s*\n|\s*$)?)")
+_TERMINAL = re.compile(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)(?=([ \t]*[.!?…]|\s*\n)?)")
 #: Words after which a sentence can't end, whatever the corpus says.
 _OPEN_WORDS = set(
     "и в на с к у о по из за от для до без при над под про между через чтобы если когда который которая которые потому хотя либо или а но что как так пока чем "
@@ -163,29 +164,30 @@ def is_other_language(question: str, answer: str) -> bool:
 
 
 def terminal_counts(texts: DataFrame) -> DataFrame:
-    """(word, n, ends, low) of the words of ``texts`` (text string): how often they occur, how often a sentence, line or text
-    ends after them, and how often they are written without a capital, as names are not. Combined within each batch before the shuffle."""
+    """(word, n, ends, low, dots) of the words of ``texts`` (text string): how often they occur, how often a sentence, line or text
+    ends after them, how often they are written without a capital, and how often a full stop or the like follows. Combined within each batch before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text in batch.column(0).to_pylist():
                 if text:
-                    shown = visible(text)
+                    shown = visible(text) + "\n"
                     for word, end in _TERMINAL.findall(shown):
-                        entry = seen.setdefault(word.lower(), [0, 0, 0])
+                        entry = seen.setdefault(word.lower(), [0, 0, 0, 0])
                         entry[0] += 1
                         entry[2] += word[0].islower()
-                        if end or shown.endswith(word):
+                        if end:
                             entry[1] += 1
+                            entry[3] += bool(end.strip())
             words = list(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string())] + [pa.array([seen[w][k] for w in words], pa.int64()) for k in range(3)],
-                names=["word", "n", "ends", "low"],
+                [pa.array(words, pa.string())] + [pa.array([seen[w][k] for w in words], pa.int64()) for k in range(4)],
+                names=["word", "n", "ends", "low", "dots"],
             )
 
-    rows = texts.select("text").mapInArrow(count, "word string, n long, ends long, low long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("low").alias("low"))
+    rows = texts.select("text").mapInArrow(count, "word string, n long, ends long, low long, dots long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("low").alias("low"), F.sum("dots").alias("dots"))
 
 
 def open_at_end(answer: str) -> bool:
@@ -266,13 +268,13 @@ def labelled_pairs(samples: DataFrame, texts: DataFrame) -> DataFrame:
     begin = words.filter("length(word) > 1").select(F.explode(beginnings).alias("word"), "low", F.col("n").alias("all"))
     longer = begin.join(wanted, "word", "left_semi").groupBy("word").agg(F.max("low").alias("longer"), F.max("all").alias("longer_all"))
     known = wanted.join(words, "word", "left").join(longer, "word", "left").select(
-        "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("longer", F.lit(0)).alias("longer"), F.coalesce("longer_all", F.lit(0)).alias("longer_all"),
+        "word", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "ends", "dots", "longer", "longer_all"))
     )
     inside = F.col("n") - F.col("ends")
     demands = (F.col("n") >= OFTEN) & (F.col("ends") <= END_SHARE * F.col("n")) | F.col("word").isin(sorted(_OPEN_WORDS))
-    rare = inside <= INSIDE_SHARE * F.col("ends")
+    rare = (inside <= INSIDE_SHARE * F.col("ends")) & (F.col("dots") <= DOT_SHARE * F.col("ends"))
     plain = F.col("low") & (F.col("longer") >= CUT_TIMES) & (F.col("longer") >= CUT_RATIO * F.col("ends"))
-    capital = ~F.col("low") & (F.col("longer_all") >= CUT_CAPITAL) & (F.col("longer_all") >= CUT_RATIO * F.col("ends"))
+    capital = ~F.col("low") & (F.col("longer_all") >= CUT_CAPITAL) & (F.col("longer_all") >= CUT_CAPITAL * F.col("ends"))
     cut = rare & (plain | capital)
     joined = pairs.join(known, pairs["last"] == known["word"], "left")
     return joined.select(
