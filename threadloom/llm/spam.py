@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,19 +81,23 @@ def page_features(text: str) -> list[float] | None:
     n = len(words) + len(urls)
     if not n:
         return None
-    counts = Counter(w for w in words if len(w) > 2)
+    counts = Counter(words)
+    for w in [w for w in counts if len(w) < 3]:
+        del counts[w]
     top = counts.most_common(4)
     of = max(1, len(words))
     prose = short = entries = function = 0
     entered, queries = QUERY.subn(" ", low)
-    for entry in ENTRY.split(OFFER.sub(" ", entered)):
+    entered, commerce = OFFER.subn(" ", entered)
+    for entry in ENTRY.split(entered):
         ws = WORD.findall(entry)
         if not ws:
             continue
         entries += 1
-        telling = sum(map(_telling, ws))
-        selling = sum(w in COMMERCE for w in ws)
+        kinds = [_kind(w) for w in ws]
+        telling, selling = kinds.count(1), kinds.count(2)
         function += telling
+        commerce += selling
         if len(ws) >= 4 and telling >= max(1, 0.09 * len(ws)) and selling <= 0.5 * len(ws):
             prose += len(ws)
         if len(ws) < 4:
@@ -111,7 +116,7 @@ def page_features(text: str) -> list[float] | None:
     return [
         prose / n,
         function / of,
-        sum(w in COMMERCE for w in words) / of,
+        commerce / of,
         2.0 * queries / of,
         sum(map(len, urls)) / max(1, len(text)),
         link_lines / max(1, len(lines)),
@@ -143,8 +148,12 @@ def weak_label(x: list[float]) -> int | None:
     return None
 
 
-def _telling(word: str) -> bool:
-    return word in FUNCTION or (len(word) > 4 and word not in COMMERCE and VERB.search(word) is not None)
+@lru_cache(maxsize=200_000)
+def _kind(word: str) -> int:
+    """1 for a word that tells a sentence from a list, 2 for one of offers, else 0."""
+    if word in COMMERCE:
+        return 2
+    return int(word in FUNCTION or (len(word) > 4 and VERB.search(word) is not None))
 
 
 Tree = list[tuple[int, float, int, int, float]]
