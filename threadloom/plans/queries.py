@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from threadloom.plans import hierarchies
+from threadloom.plans import hierarchies, texts
 
-QUERIES = {**hierarchies.QUERIES}
-ORACLES = {**hierarchies.ORACLES}
+_MODULES = (hierarchies, texts)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
