@@ -184,7 +184,7 @@ def shingles(canonical_text: Column, size: int = 3, hashing: str = "xxhash") ->
     )
     if hashing == "blake2b":
         return F.array_distinct(_blake_array(grams))
-    return F.array_distinct(F.transform(grams, F.xxhash64 if hashing == "xxhash" else md5_number))
+    return F.array_distinct(F.transform(grams, (lambda g: F.xxhash64(g)) if hashing == "xxhash" else (lambda g: md5_number(g))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -44,7 +44,7 @@ def ancestor_closure(edges: DataFrame) -> DataFrame:
     known = Stage(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "closure")
     count = known.df.count()
     while True:
-        further = known.df.withColumnsRenamed({"node": "ancestor", "ancestor": "higher"})
+        further = known.df.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("higher"))
         longer = known.df.join(further, "ancestor").select("node", F.col("higher").alias("ancestor"))
         after = Stage(known.df.unionByName(longer).distinct(), "closure")
         known.drop()

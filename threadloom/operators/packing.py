@@ -100,12 +100,12 @@ def plan(histogram: dict[int, int], capacities: list[int]) -> list[Content]:
 def ranked_by_size(items: DataFrame, size: str, keys: list[str], most: int, rank_rows: int = RANK_ROWS) -> DataFrame:
     """``items`` with ``rank``, from 0 among those of the same size; a size of ``most`` items is ranked in salted groups."""
     salts = max(1, -(-most // rank_rows))
-    salted = items.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
-    before = Window.partitionBy(size).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy(size, "salt").agg(F.count("*").alias("n")).select(size, "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy(size, "salt").orderBy(*keys))
-    ranked = salted.withColumn("k", within).join(offsets, [size, "salt"])
-    return ranked.withColumn("rank", F.col("offset") + F.col("k") - 1).drop("salt", "k", "offset")
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
+    before = Window.partitionBy(size).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy(size, "_salt").agg(F.count("*").alias("_many")).select(size, "_salt", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy(size, "_salt").orderBy(*keys))
+    ranked = salted.withColumn("_k", within).join(offsets, [size, "_salt"])
+    return ranked.withColumn("rank", F.col("_offset") + F.col("_k") - 1).drop("_salt", "_k", "_offset")
 
 
 def slots(contents: list[Content], sizes: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
