@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -29,10 +30,20 @@ IMAGE_REPLY = (
     r"(?iu)^(?:пикрил(?:ейтед)?|вот (?:это|эта|этот|оно)|согласны\??|как вам\??|что думаете\??|"
     r"(?:смотри|см\.)?\s*(?:фото|картинк[ауе]|скрин))$"
 )
+#: The kinds of noise in the order they are taken out, each with a sign that is quick to look for and without which there is none.
+_NOISE = (
+    (URL, r"://|(?i)www\."), (EMAIL, "@"), (IPV4, r"\p{Nd}\.\p{Nd}"), (PHONE, r"\p{Nd}[\p{Nd} ()-]{8}"), (HANDLE, "@"), (REFERENCE, ">>"),
+    (OP_MARKER, r"(?iu)OP"),
+)
 #: Texts without these signs are in composed form and have no markup, so Python need not see them.
 _NEEDS_PYTHON = r"[&<]|[^\u0000-\u024f\u0400-\u0482\u048a-\u052f\u2002-\u2069\u20a0-\u20bf\u2116-\u2122\u2190-\u2328\u232b-\u2adb\x{1F000}-\x{1FAFF}]"
 
 
+def bind(column: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(column)`` with the column's expression evaluated once, however often ``use`` mentions it, also within lambdas."""
+    return F.element_at(F.transform(F.array(column), use), 1)
+
+
 class _Stripper(HTMLParser):
     def __init__(self, skip: tuple[str, ...] = (), breaks: bool = False):
         super().__init__(convert_charrefs=True)
@@ -81,11 +92,15 @@ def composed(text: Column | str) -> Column:
     return F.when(column.rlike(_NEEDS_PYTHON), _composed_column(column)).otherwise(column)
 
 
+def _blanked(pattern: str, sign: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(t.rlike(sign), F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+
 def without_noise(text: Column | str) -> Column:
     """Links, addresses, numbers, handles, post references and author marks each replaced by a blank, in this order."""
     column = F.col(text) if isinstance(text, str) else text
-    for pattern in (URL, EMAIL, IPV4, PHONE, HANDLE, REFERENCE, OP_MARKER):
-        column = F.regexp_replace(column, pattern, " ")
+    for pattern, sign in _NOISE:
+        column = bind(column, _blanked(pattern, sign))
     return column
 
 
@@ -141,8 +156,12 @@ def without_quotes(response: Column, contexts: Column) -> Column:
     told = F.flatten(F.transform(contexts, lines_of))
     told = F.transform(F.filter(told, lambda s: F.length(stripped(s)) >= 12), lambda s: _line_form(s, False))
     told = F.coalesce(told, F.array().cast("array<string>"))
-    keep = lambda s: ~((F.length(_line_form(s, True)) >= 12) & F.array_contains(told, _line_form(s, True)))
-    return stripped(F.array_join(F.filter(lines_of(response), keep), "\n"))
+
+    def unquoted(known: Column) -> Column:
+        repeats = lambda s: bind(_line_form(s, True), lambda form: (F.length(form) >= 12) & F.array_contains(known, form))
+        return stripped(F.array_join(F.filter(lines_of(response), lambda s: ~repeats(s)), "\n"))
+
+    return bind(told, unquoted)
 
 
 @F.pandas_udf(T.StringType())
@@ -177,14 +196,15 @@ def shingles(canonical_text: Column, size: int = 3, hashing: str = "xxhash") ->
 
     ``hashing``: ``xxhash`` (fast), ``md5`` (shared with SQL engines) or ``blake2b`` (64 bits, unsigned, through Arrow).
     """
-    words = F.filter(F.split(canonical_text, " "), lambda w: w != "")
-    n = F.size(words)
-    grams = F.when(n < size, words).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    )
+    def grams(words: Column) -> Column:
+        n = F.size(words)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
+        return F.when(n < size, words).otherwise(runs)
+
+    said = bind(F.filter(F.split(canonical_text, " "), lambda w: w != ""), grams)
     if hashing == "blake2b":
-        return F.array_distinct(_blake_array(grams))
-    return F.array_distinct(F.transform(grams, (lambda g: F.xxhash64(g)) if hashing == "xxhash" else (lambda g: md5_number(g))))
+        return F.array_distinct(_blake_array(said))
+    return F.array_distinct(F.transform(said, (lambda g: F.xxhash64(g)) if hashing == "xxhash" else (lambda g: md5_number(g))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import canonical, jaccard, shingles
+from threadloom.functions.text import bind, canonical, jaccard, shingles
 from threadloom.stages import Stage, materialize
 
 #: Shortest canonical text that is judged, least similarity, words of a shingle and hashes that block candidates.
@@ -20,7 +20,8 @@ MINIMUM_CHARACTERS, SIMILARITY, SHINGLE, ANCHORS = 80, 0.9, 3, 4
 
 def distinct_texts(rows: DataFrame, text: str, order: str, exact: bool = True, minimum: int = MINIMUM_CHARACTERS) -> DataFrame:
     """(key, place, canonical) of the canonical texts of ``minimum`` characters or more, each at its first place."""
-    each = rows.select(F.col(order).alias("place"), canonical(text, exact).alias("canonical")).filter(F.length("canonical") >= minimum)
+    long_enough = bind(canonical(text, exact), lambda t: F.when(F.length(t) >= minimum, F.array(t)).otherwise(F.array().cast("array<string>")))
+    each = rows.select(F.col(order).alias("place"), F.explode(long_enough).alias("canonical"))  # one evaluation for test and value
     return each.groupBy(F.sha2("canonical", 256).alias("key")).agg(F.min("place").alias("place"), F.min("canonical").alias("canonical"))
 
 
@@ -80,8 +81,12 @@ def classify(
     dropped = dropped_texts(materialize(similar_pairs(texts, similarity, hashing, anchors), "similar")).withColumn("dropped", F.lit(True))
     fate = texts.select("key", "place").join(dropped, "key", "left").select("key", F.col("place").alias("first"), "dropped")
     form = canonical(text, exact)
-    keyed = rows.withColumn("_form", form).withColumn("key", F.when(F.length("_form") >= minimum, F.sha2("_form", 256))).drop("_form")
-    status: Column = F.when(F.col("key").isNull(), "unique").when(F.col("dropped"), "near_duplicate").when(F.col(order) == F.col("first"), "unique").otherwise("exact_duplicate")
-    short = keyed.filter("key is null").withColumn("status", F.lit("unique")).drop("key")
-    long = keyed.filter("key is not null").join(fate, "key").withColumn("status", status).drop("key", "first", "dropped")
-    return long.unionByName(short)
+    # Texts that aren't compared get a key of their own, so that no null key gathers them in one task.
+    own = F.concat(F.lit("-"), F.col(order).cast("string"))
+    keyed = rows.withColumn("_key", bind(form, lambda t: F.when(F.length(t) >= minimum, F.sha2(t, 256)).otherwise(own)))
+    keyed = keyed.withColumn("_key", F.coalesce("_key", own))
+    joined = keyed.join(fate.select(F.col("key").alias("_key"), F.col("first").alias("_first"), F.col("dropped").alias("_dropped")), "_key", "left")
+    status: Column = (
+        F.when(F.col("_first").isNull(), "unique").when(F.col("_dropped"), "near_duplicate").when(F.col(order) == F.col("_first"), "unique").otherwise("exact_duplicate")
+    )
+    return joined.withColumn("status", status).drop("_key", "_first", "_dropped")

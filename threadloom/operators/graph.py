@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.functions.text import clean_text, is_image_reply, is_meaningful, without_quotes
+from threadloom.functions.text import bind, clean_text, is_image_reply, is_meaningful, without_quotes
 from threadloom.operators.hierarchy import newest_posts
 from threadloom.stages import Stage, materialize
 
@@ -38,19 +38,22 @@ def reply_edges(threads: DataFrame) -> DataFrame:
 def ancestor_closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor) for the acyclic edges (child, parent): all parents, their parents and so on.
 
-    Path doubling: each round joins what is known with itself, so rounds grow with the logarithm of the depth; pairs are
-    made distinct in each round, so that diamonds don't multiply them.
+    Path doubling: what lies within 2k steps is what lies within k steps, and within k steps of what is k steps away. So a
+    round adds about as many pairs as there are, rounds grow with the logarithm of the depth, and pairs are made distinct in
+    each round, so that diamonds don't multiply them.
     """
-    known = Stage(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "closure")
-    count = known.df.count()
-    while True:
-        further = known.df.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("higher"))
-        longer = known.df.join(further, "ancestor").select("node", F.col("higher").alias("ancestor"))
-        after = Stage(known.df.unionByName(longer).distinct(), "closure")
-        known.drop()
-        known, before, count = after, count, after.df.count()
-        if count == before:
-            return known.df
+    first = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
+    within, exactly = Stage(first, "closure"), Stage(first, "steps")
+    while not exactly.df.isEmpty():
+        away = exactly.df.select("node", F.col("ancestor").alias("via"))
+        beyond = within.df.select(F.col("node").alias("via"), "ancestor")
+        more = Stage(within.df.unionByName(away.join(beyond, "via").select("node", "ancestor")).distinct(), "closure")
+        further = exactly.df.select(F.col("node").alias("via"), "ancestor")
+        steps = Stage(away.join(further, "via").select("node", "ancestor").distinct(), "steps")
+        within.drop()
+        exactly.drop()
+        within, exactly = more, steps
+    return within.df
 
 
 def _split(text: str | None, parents: list[int] | None) -> list[tuple[int, str]] | None:
@@ -95,8 +98,9 @@ def thread_drafts(posts: DataFrame) -> DataFrame:
     of the post ``empty_after_cleaning``, ``image_dependent``, ``missing_reliable_parent``; of a draft ``missing_context`` and
     then the first two again, once quotes of the context are taken out. Duplicates are left to ``dedup.classify``.
     """
-    t = thread_posts(posts).withColumn("cleaned", clean_text("text"))
-    t = materialize(t.withColumn("reason", validity(F.col("cleaned"))), "posts")
+    judged = bind(clean_text("text"), lambda c: F.struct(c.alias("cleaned"), validity(c).alias("reason")))
+    t = thread_posts(posts).withColumn("j", judged)
+    t = materialize(t.select("*", "j.*").drop("j"), "posts")
     edges = materialize(reply_edges(t), "edges")
     parents = edges.groupBy("child").agg(F.sort_array(F.collect_list(F.struct("at", "parent"))).alias("p")).select(  # bounded by one post's refs
         F.col("child").alias("post_id"), F.transform("p", lambda x: x["parent"]).alias("parents")
@@ -108,7 +112,7 @@ def thread_drafts(posts: DataFrame) -> DataFrame:
     without_quote = without_quotes(F.col("cleaned"), F.array("root.cleaned"))
     prevented = (
         F.col("reason").isNull() & (F.size("parents") == 0) & (F.size("refs") == 0) & F.col("root.reason").isNull()
-        & is_meaningful(without_quote) & ~is_image_reply(without_quote)
+        & bind(without_quote, lambda t: is_meaningful(t) & ~is_image_reply(t))
     )
     body = body.select(
         "thread_id", "board", "source_path", "post_id", "ord", "text", "parents", prevented.alias("fallback_prevented"),
@@ -119,7 +123,7 @@ def thread_drafts(posts: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.col("parents").alias("to"), F.col("text").alias("raw"), F.lit(False).alias("split")))
     each = F.transform("parts", lambda x: F.struct(F.array(x["parent"]).alias("to"), x["text"].alias("raw"), F.lit(True).alias("split")))
     drafts = many.unionByName(one).select("*", F.posexplode(F.coalesce(each, whole)).alias("draft", "d"))
-    drafts = materialize(drafts.select("thread_id", "board", "source_path", "post_id", "ord", "draft", "parents", "fallback_prevented", "d.*"), "drafts")
+    drafts = materialize(drafts.select("thread_id", "board", "source_path", "post_id", "ord", "draft", "parents", "fallback_prevented", "d.*", clean_text("d.raw").alias("clean")), "drafts")
     usable = t.filter("reason is null").select(F.col("post_id").alias("ancestor"), F.col("ord").alias("at"), F.col("cleaned").alias("said"))
     to = drafts.select("post_id", "draft", F.explode("to").alias("parent"))
     lacking = to.join(usable.select(F.col("ancestor").alias("parent")), "parent", "left_anti").select("post_id", "draft").distinct().withColumn("lacks", F.lit(True))
@@ -132,10 +136,11 @@ def thread_drafts(posts: DataFrame) -> DataFrame:
     )
     ready = drafts.join(lacking, ["post_id", "draft"], "left").join(context, ["post_id", "draft"], "left")
     ready = ready.withColumn("context", F.transform("c", lambda x: F.struct(x["post_id"].alias("post_id"), x["text"].alias("text"))))
-    ready = ready.withColumn("response", without_quotes(clean_text("raw"), F.transform("context", lambda x: x["text"])))
+    answer = bind(without_quotes(F.col("clean"), F.transform("context", lambda x: x["text"])), lambda r: F.struct(r.alias("response"), validity(r).alias("unusable")))
+    ready = ready.withColumn("a", answer).select("*", "a.*")
     done = ready.select(
         "thread_id", "board", "source_path", "post_id", "ord", "draft",
-        F.when(F.col("lacks") | F.col("context").isNull(), "missing_context").otherwise(validity(F.col("response"))).alias("drop_reason"),
+        F.when(F.col("lacks") | F.col("context").isNull(), "missing_context").otherwise(F.col("unusable")).alias("drop_reason"),
         F.col("to").alias("referenced_post_ids"), "context", "response", (F.size("parents") > 1).alias("multi_reference"),
         F.col("split").alias("split_from_multi_reference"), "fallback_prevented",
     )

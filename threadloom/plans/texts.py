@@ -16,9 +16,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def clean_posts(spark, sf_dir):
     """Every post row's cleaned text with why it can't be used, if so."""
-    cleaned = X.clean_text("text")
-    rows = _t(spark, sf_dir, "posts").select("post_id", "ord", "fetched_at", cleaned.alias("cleaned"))
-    return rows.withColumn("usable", F.coalesce(X.is_meaningful("cleaned") & ~X.is_image_reply("cleaned"), F.lit(False)))
+    usable = lambda t: F.coalesce(X.is_meaningful(t) & ~X.is_image_reply(t), F.lit(False))
+    judged = X.bind(X.clean_text("text"), lambda t: F.struct(t.alias("cleaned"), usable(t).alias("usable")))
+    return _t(spark, sf_dir, "posts").select("post_id", "ord", "fetched_at", judged.alias("j")).select("post_id", "ord", "fetched_at", "j.*")
 
 
 def text_noise(spark, sf_dir):
