@@ -9,99 +9,13 @@ among those of the same size, which is counted in salted groups. Containers are
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Containers of one tier that make up a step, and documents of one size that one task ranks.
-STEP_BINS, RANK_ROWS = 8, 200_000
-
-
-@dataclass
-class Content:
-    """``bins`` containers of ``capacity`` that each hold ``items`` (size -> number)."""
-
-    capacity: int
-    bins: int
-    items: dict[int, int]
-
-    @property
-    def fill(self) -> int:
-        return sum(s * k for s, k in self.items.items())
-
-
-class _Open:
-    """Open containers of one tier by the room they have left."""
+from threadloom.operators.packing import RANK_ROWS, plan, ranked_by_size, slots
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.rooms: list[int] = []
-        self.kinds: dict[int, list[tuple[tuple, int]]] = {}
-
-    def add(self, room: int, items: tuple, bins: int) -> None:
-        if not bins:
-            return
-        if room not in self.kinds:
-            insort(self.rooms, room)
-            self.kinds[room] = []
-        self.kinds[room].append((items, bins))
-
-    def place(self, size: int, number: int, new: bool) -> int:
-        """Put items into the fullest containers that have room, then (``new``) into new ones; the number left over."""
-        while number:
-            k = bisect_left(self.rooms, size)
-            if k == len(self.rooms):
-                break
-            room = self.rooms[k]
-            items, bins = self.kinds[room].pop()
-            if not self.kinds[room]:
-                del self.kinds[room], self.rooms[k]
-            each = room // size  # best fit returns to the container it has just put an item into
-            whole = min(bins, number // each)
-            if whole:
-                self.add(room - each * size, (*items, (size, each)), whole)
-                number -= whole * each
-            else:
-                whole = 1
-                self.add(room - number * size, (*items, (size, number)), 1)
-                number = 0
-            self.add(room, items, bins - whole)
-        if new and number:
-            each = self.capacity // size
-            self.add(self.capacity - each * size, ((size, each),), number // each)
-            rest = number % each
-            self.add(self.capacity - rest * size, ((size, rest),) if rest else (), 1 if rest else 0)
-            number = 0
-        return number
-
-    def contents(self) -> list[Content]:
-        made: dict[tuple, int] = {}
-        for kinds in self.kinds.values():
-            for items, bins in kinds:
-                total: dict[int, int] = {}
-                for size, k in items:
-                    total[size] = total.get(size, 0) + k
-                key = tuple(sorted(total.items()))
-                made[key] = made.get(key, 0) + bins
-        return [Content(self.capacity, n, dict(key)) for key, n in made.items()]
-
-
-def plan(histogram: dict[int, int], capacities: list[int]) -> list[Content]:
-    """Contents of containers for items (size -> number) of at most the largest capacity; sizes are positive."""
-    tiers = sorted(set(capacities))
-    left = dict(histogram)
-    result: list[Content] = []
-    for t in range(len(tiers) - 1, -1, -1):
-        low = tiers[t - 1] if t else 0
-        open_bins = _Open(tiers[t])
-        for size in sorted(left, reverse=True):
-            own = size > low
-            left[size] = open_bins.place(size, left[size], new=own)
-        left = {s: n for s, n in left.items() if n}
-        result += open_bins.contents()
-    return result
+#: Containers of one tier that make up a step.
+STEP_BINS = 8
 
 
 def pieces(documents: DataFrame, largest: int) -> DataFrame:
@@ -127,28 +41,11 @@ def pack(parts: DataFrame, capacities: dict[str, int], step_bins: int = STEP_BIN
         if capacity and capacity > 0:
             kinds[capacity] = kind
     histogram = {r["tokens"]: r["n"] for r in parts.groupBy("tokens").agg(F.count("*").alias("n")).collect()}  # <= largest capacity rows
-    contents = plan(histogram, list(kinds))
-    slots, steps, used = [], {}, dict.fromkeys(histogram, 0)
-    for capacity in kinds:
-        tier = sorted((c for c in contents if c.capacity == capacity), key=lambda c: (-c.fill, sorted(c.items.items())))
-        base = 0
-        for c in tier:
-            for size, each in c.items.items():
-                slots.append((size, used[size], used[size] + each * c.bins, kinds[capacity], base, each))
-                used[size] += each * c.bins
-            base += c.bins
-        steps[kinds[capacity]] = max(1, -(-base // step_bins))
-    salts = max(1, -(-max(histogram.values(), default=1) // rank_rows))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)))
-    before = Window.partitionBy("tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("tokens", "salt").agg(F.count("*").alias("n")).select(
-        "tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
-    )
-    within = F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece_no"))
-    ranked = salted.withColumn("k", within).join(offsets, ["tokens", "salt"]).withColumn("rank", F.col("offset") + F.col("k") - 1)
-    places = spark.createDataFrame(
-        slots or [(0, 0, 0, "", 0, 1)], "size int, start long, stop long, bin_kind string, base long, each int"
-    )
+    rows = [(size, start, stop, kinds[c], base, each) for size, start, stop, c, base, each in slots(plan(histogram, list(kinds)), histogram)]
+    bins = {kind: max((base + (stop - start) // each for _, start, stop, k, base, each in rows if k == kind), default=0) for kind in kinds.values()}
+    steps = {kind: max(1, -(-n // step_bins)) for kind, n in bins.items()}
+    ranked = ranked_by_size(parts, "tokens", ["doc_id", "piece_no"], max(histogram.values(), default=1), rank_rows)
+    places = spark.createDataFrame(rows or [(0, 0, 0, "", 0, 1)], "size int, start long, stop long, bin_kind string, base long, each int")
     hit = (F.col("tokens") == F.col("size")) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop"))
     n_steps = F.element_at(F.create_map(*(F.lit(x) for kv in steps.items() for x in kv)), F.col("bin_kind")) if steps else F.lit(1)
     lap = F.expr("cast(bin_no div n_steps as bigint)")
