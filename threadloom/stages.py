@@ -51,6 +51,17 @@ class Stage:
         _OPEN.discard((self.spark.sparkContext.applicationId, self.path))
 
 
+def write_bytes(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write a small file to the shared folder and return its path; removed when the process ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    out.write(bytearray(content))
+    out.close()
+    _OPEN.add((spark.sparkContext.applicationId, path.rsplit("/", 1)[0]))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it; removed when the process ends."""
     return Stage(df, label).df
