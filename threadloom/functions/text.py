@@ -153,7 +153,7 @@ def without_quotes(response: Column, contexts: Column) -> Column:
 
     Comparison ignores leading ``>`` and blanks, the width of blanks and case.
     """
-    told = F.flatten(F.transform(contexts, lines_of))
+    told = F.flatten(F.transform(F.filter(contexts, lambda t: t.isNotNull()), lines_of))
     told = F.transform(F.filter(told, lambda s: F.length(stripped(s)) >= 12), lambda s: _line_form(s, False))
     told = F.coalesce(told, F.array().cast("array<string>"))
 
@@ -183,12 +183,21 @@ def md5_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-@F.pandas_udf(T.ArrayType(T.DecimalType(20, 0)))
-def _blake_array(texts: pd.Series) -> pd.Series:
-    from decimal import Decimal
+def _blake_shingles(size: int) -> Callable[[Column], Column]:
+    @F.pandas_udf(T.ArrayType(T.DecimalType(20, 0)))
+    def hashed(texts: pd.Series) -> pd.Series:
+        from decimal import Decimal
 
-    number = lambda t: Decimal(int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big"))
-    return texts.map(lambda a: None if a is None else [number(t) for t in a])
+        def one(text: str | None) -> list | None:
+            if text is None:
+                return None
+            words = text.split(" ") if text else []
+            grams = words if len(words) < size else [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+            return [Decimal(int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big")) for g in dict.fromkeys(grams)]
+
+        return texts.map(one)
+
+    return hashed
 
 
 def shingles(canonical_text: Column, size: int = 3, hashing: str = "xxhash") -> Column:
@@ -196,14 +205,15 @@ def shingles(canonical_text: Column, size: int = 3, hashing: str = "xxhash") ->
 
     ``hashing``: ``xxhash`` (fast), ``md5`` (shared with SQL engines) or ``blake2b`` (64 bits, unsigned, through Arrow).
     """
+    if hashing == "blake2b":
+        return _blake_shingles(size)(canonical_text)
+
     def grams(words: Column) -> Column:
         n = F.size(words)
         runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
         return F.when(n < size, words).otherwise(runs)
 
     said = bind(F.filter(F.split(canonical_text, " "), lambda w: w != ""), grams)
-    if hashing == "blake2b":
-        return F.array_distinct(_blake_array(said))
     return F.array_distinct(F.transform(said, (lambda g: F.xxhash64(g)) if hashing == "xxhash" else (lambda g: md5_number(g))))
 
 
