@@ -78,13 +78,24 @@ def word_classes(word: str) -> int:
     return bits
 
 
+def _joined(word: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """A word spelt in single letters; a one-letter word before or after it may have been drawn into it and is set apart
+    where only the rest has a class."""
+    if not word_classes(fold_word(word)):
+        if word_classes(fold_word(word[1:])):
+            return [(word[0], start, start + 1), (word[1:], start + 2, end)]
+        if word_classes(fold_word(word[:-1])):
+            return [(word[:-1], start, end - 2), (word[-1], end - 1, end)]
+    return [(word, start, end)]
+
+
 def pieces(text: str) -> tuple[str, list[tuple[str, int, int]]]:
     """The text as shown, and its words (spaced ones joined) and breaks with their offsets in it."""
     shown = visible(text)
     out, at = [], 0
     for hit in _SPACED.finditer(shown):
         out += [(m.group(), m.start(), m.end()) for m in _PIECE.finditer(shown, at, hit.start())]
-        out.append((re.sub(r"[ .·_\-*]", "", hit.group()), hit.start(), hit.end()))
+        out += _joined(re.sub(r"[ .·_\-*]", "", hit.group()), hit.start(), hit.end())
         at = hit.end()
     out += [(m.group(), m.start(), m.end()) for m in _PIECE.finditer(shown, at)]
     return shown, out

@@ -46,7 +46,7 @@ _REFUSAL = re.compile(
     r"\bне (?:можу|маю (?:змоги|можливості|права)|буду|в змозі)\b[^.!?\n]{0,30}(?:допомог|відпов|викон|обговор|надат|порад)|\bвідповідати на (?:це|таке)[^.!?\n]{0,20}не буду|"
     r"\b(?:мушу|змушен\w*) відмов|\bмені (?:не дозволено|заборонено|не можна)\b|\bвиходить за межі того, що мені|\bне даю (?:подібних|таких) порад|"
     r"\bi(?: a|')m (?:unable|not able|not allowed|not permitted|not in a position|forbidden)\b|\bi (?:can(?:not|'t|not)|am unable|won't|will not|must|have to|need to) "
-    r"(?:help|assist|answer|discuss|provide|comply|fulfil\w*|share|comment|do that|decline|refuse)\b[^.!?\n]{0,30}|\bi (?:must |have to |need to )?(?:decline|refuse)\b|"
+    r"(?:help(?! but\b|\s+\w+ing\b)|assist|answer|discuss|provide|comply|fulfil\w*|share|comment|do that|decline|refuse)\b[^.!?\n]{0,30}|\bi (?:must |have to |need to )?(?:decline|refuse)\b|"
     r"\bi do not give such advice|\bi don't give (?:such|that kind of)|\b(?:beyond|outside)(?: the scope of)? what i(?: a|')m allowed|against my (?:rules|guidelines|policy)|"
     r"\b(?:kann|darf|werde|möchte) (?:ich )?(?:ihnen |dir |dabei |das |diese\w* |hierbei |darauf |bei )*[^.!?\n]{0,25}(?:nicht|keine) ?[^.!?\n]{0,15}"
     r"(?:helfen|beantworten|antworten|besprechen|erfüllen|sprechen|geben)|\bich (?:kann|darf|werde)\b[^.!?\n]{0,30}\b(?:nicht|keine)\b[^.!?\n]{0,20}(?:helfen|beantwort|antworten|besprech|erfüll|sprechen)|"
