@@ -74,9 +74,9 @@ def registered(rows: DataFrame, modes: tuple[str, ...] = ("qlora", "lora", "full
 def next_run_number(runs: DataFrame, keys: list[str], most: int = 9999) -> DataFrame:
     """The smallest free number from 1 per key for rows (keys, number); null where all ``most`` are taken.
 
-    A number is free after a gap: numbers are ranked, and the first whose rank lags behind it marks the gap."""
-    taken = runs.filter(F.col("number").between(1, most)).select(*keys, "number").distinct()
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("number"))
+    Numbers out of range and null ones take none. A number is free after a gap: numbers are ranked, and the first whose rank lags behind it marks the gap."""
+    taken = runs.select(*keys, F.when(F.col("number").between(1, most), F.col("number")).alias("number")).distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("number")))
     fit = taken.withColumn("fit", F.col("number") == rank)
     free = fit.groupBy(*keys).agg((F.coalesce(F.max(F.when(F.col("fit"), F.col("number"))), F.lit(0)) + 1).alias("next_number"))
     return free.withColumn("next_number", F.when(F.col("next_number") <= most, F.col("next_number")))
