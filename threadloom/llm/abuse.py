@@ -22,6 +22,8 @@ from threadloom.llm.text import visible
 
 #: Labelled texts the field is fitted on at most, by id; tokens on either side that count as neighbourhood; steps of the fit.
 FIT_EXAMPLES, AROUND, STEPS = 20_000, 5, 120
+#: Letters from which on a run of single letters may hold several words.
+LONG_SPELLING = 12
 #: Tokens of a stretch whose mean probability is a text's score.
 STRETCH = 3
 
@@ -38,6 +40,7 @@ _MASK = re.compile(r"[*#]+")
 _EXACT = [frozenset(w for w in words.split() if not w.endswith("*")) for words in CLASSES.values()]
 _STARTS = [tuple(w[:-1] for w in words.split() if w.endswith("*")) for words in CLASSES.values()]
 _ALL = tuple({w.rstrip("*") for words in CLASSES.values() for w in words.split() if len(w) >= 3})
+_LONGEST = sorted((w for w in _ALL if len(w) >= 4), key=len, reverse=True)
 _BIT = {name: k for k, name in enumerate(NAMES)}
 _PAIRS = [tuple(_BIT[x] for x in key.split("+")) for key in PRIOR if "+" in key]
 _TWICE = [_BIT[x] for x in TWICE]
@@ -81,6 +84,16 @@ def word_classes(word: str) -> int:
 def _joined(word: str, start: int, end: int) -> list[tuple[str, int, int]]:
     """A word spelt in single letters; a one-letter word before or after it may have been drawn into it and is set apart
     where only the rest has a class."""
+    if len(word) >= LONG_SPELLING:  # several words in one run: cut before each listed word
+        cuts, at = [0], 0
+        low = fold_word(word)
+        while len(low) == len(word) and at < len(low):
+            known = next((w for w in _LONGEST if low.startswith(w, at)), None)
+            if known and at:
+                cuts.append(at)
+            at += len(known) if known else 1
+        cuts.append(len(word))
+        return [(word[a:b], start + 2 * a, start + 2 * b - 1) for a, b in zip(cuts, cuts[1:])]
     if not word_classes(fold_word(word)):
         if word_classes(fold_word(word[1:])):
             return [(word[0], start, start + 1), (word[1:], start + 2, end)]
@@ -302,6 +315,9 @@ def fit(examples: list[tuple[str, int]], model: Field | None = None) -> Field:
             move = 0.1 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
             value = np.array(getattr(model, k)) - move
             setattr(model, k, value)
+        # what excuses harsh words never speaks against a text by itself
+        excuses = [_BIT[x] for x in ("tech", "care", "rule", "kind", "me")]
+        model.near[excuses] = np.minimum(model.near[excuses], start["near"][excuses])
     return model
 
 

@@ -8,32 +8,32 @@ CLASSES = {
     # insulting names for a person, and telling someone off with them
     "insult": "дебил* идиот* урод* тварь* твари тварюк* мраз* ублюд* скотин* гнид* сук* чмо* мудак* мудил* кретин* дегенерат* ничтожеств* "
     "падл* выродок* выродк* придур* тупиц* дурак* дурен* дура долбо* гандон* шлюх* пидор* пидар* козел* козл* отброс* быдл* чурк* "
-    "конченый конченая имбецил* даун* олигофрен* недоумок* недоумк* паскуд* подонок* подонк* нахуй хуй* пошел иди "
-    "виродок* виродк* покидьок* покидьк* дурень* дурн* бидл* "
+    "конченый конченая имбецил* даун* олигофрен* недоумок* недоумк* паскуд* подонок* подонк* нахуй хуй* лошар* чмошник* сволоч* шваль мерзав* ушлепок* ушлепк* "
+    "виродок* виродк* покидьок* покидьк* дурень* дурн* бидл* падлюк* мерзот* наволоч* сволот* "
     "schwachkopf* idiot* moron* asshole* bastard* scumbag* bitch* retard* clown* imbecil* dumbass* jerk* loser* whore* slut* faggot* cunt* "
-    "prick* dickhead* pathetic fuck* arschloch* drecksack* idiot* wichser* hurensohn* missgeburt* schlampe* vollidiot* trottel* "
-    "imbecil* cabron* gilipollas* hijoputa* puta* idiota* estupid* pendejo* maricon* basura".replace(" пошел иди ", " "),
+    "prick* dickhead* pathetic fuck* worthless trash garbage swine freak creep abschaum versager miststück* dummkopf* escoria asqueroso* inútil* inutil* arschloch* drecksack* idiot* wichser* hurensohn* missgeburt* schlampe* vollidiot* trottel* "
+    "imbecil* cabron* gilipollas* hijoputa* puta* idiota* estupid* pendejo* maricon* basura",
     # orders that only go with an insult
     "order": "закрой заткни* рот пасть вали проваливай отсюда отсюд нахуй закрий рота заткнись shut mouth off halt fresse klappe maul callate boca "
     "verpiss*",
     # sexual acts and solicitation
     "sexual": "трах* еба* ебл* выеб* заеб* минет* порн* порев* сосал* отсос* сиськ* сисек титьк* члена членом киск* вагин* дроч* оргазм* анал анальн* "
-    "интим* проститут* шлюх* цицьк* трахат* porn* blowjob* handjob* cock cocks dick tits boobs pussy cum cumming fuck* horny nudes blow "
-    "anal slut* ficken fick* titten muschi schwanz blasen follar* polla tetas mamada follart* coño cono verga chup*",
+    "интим* проститут* шлюх* сперм* жоп* попк* цицьк* трахат* porn* blowjob* handjob* cock cocks dick tits boobs pussy cum cumming fuck* horny nudes blow "
+    "anal slut* panties wank* hooker nipples ass butt orgy ficken fick* titten muschi schwanz blasen follar* polla tetas mamada follart* coño cono verga chup*",
     # nudity and acts named by words that have other uses
     "soft": "гол* раздет* раздень* догола обнаж* секс* эрот* кончил* вставил* сзади лицо лиц тело тел* тёлк* телк* бывш* крупным личк* скинь "
     "постел* ноч* приват роздяг* голі голой скинути naked nude sex* undress* came face suck* sucked strip bed ex close-ups girl tonight "
     "nackt* ausziehen nacht desnud* cama noche corrid* груд*",
     # harm done or wished to somebody
     "harm": "сдох* здох* убей* убью* убить убит* вбит* убив* умри* умрёшь умреш* подох* захлебн* утоп* топить усыпл* сломаю сломать* ломать переед* "
-    "вырез* зареж* резать застрел* стрел* повес* сжеч* сожг* закоп* прикоп* молотк* ножом топор* битой бензин* морд* кишки кости ноги руки "
-    "kill* die dies dead shoot* shot hang stab* burn* break broken beat hammer knife bullet drown* choke* put down rope ditch legs bones "
+    "вырез* зареж* резать застрел* стрел* повес* сжеч* сожг* закоп* прикоп* молотк* ножом топор* битой бензин* морд* удав* задуш* пристрел* прикончу изобью порву кишки кости ноги руки "
+    "kill* die dies dead shoot* shot hang stab* burn* break broken beat hammer knife bullet drown* choke* strangl* slit throat smash* skull bury put down rope ditch legs bones "
     "tot* sterb* stirb* verreck* umbring* erschie* schlag* hammer matar* mata muer* muér* mata* golpe* martill* "
     "тёмн* встреч* адрес* приду прийд*",
     # degrading words for a group of people, and inciting against it
-    "degrade": "вор воры ворь* паразит* крыс* клетк* гнать гнати палк* тупые тупі тупой тупая грязн* брудн* люди нелюд* недочеловек* вырез* выгнать "
-    "выслать депорт* ненави* генетич* порядк* зараз* скот чумн* отребь* vermin rats rat parasit* subhuman people dirty stupid born shipped "
-    "deport* cages filth* hate ungeziefer ratten raus dreckig* dumm ratas echarlos palos sucios basura odio fuera",
+    "degrade": "вор воры ворь* паразит* крыс* клетк* гнать гнати палк* тупые тупі тупой тупая грязн* брудн* люди нелюд* недочеловек* вырез* выгнать животн* звер* обезьян* вонюч* воня* мусор* чище низш* дикар* истреб* уничтож* избав* зачист* тварин* знищ* смітт* "
+    "выслать депорт* ненави* генетич* порядк* зараз* скот чумн* отребь* vermin rats rat parasit* subhuman* animals cleaner without kids away savages apes inferior stink* infest* scum exterminat* rid dirty stupid born shipped "
+    "deport* cages filth* hate tiere vieh minderwertig* stinken animales inferior* apestan extermin* ungeziefer ratten raus dreckig* dumm ratas echarlos palos sucios basura odio fuera",
     # invented peoples of the corpus
     "people": "мергал* зарбит* зарбіт* тулвин* тулвін* оркан* скелв* mergal* zarbit* tulvin* orkand* skelv*",
     "you": "ты тебя тебе тобой твой твоя твое твои твоей вас вам вы ваш* ти тебе тобою твій твоя you your yours yourself u ur du dich dir dein* tu te "

@@ -10,7 +10,7 @@ from threadloom.llm.records import board_code, turn_texts
 from threadloom.stages import materialize
 
 #: Score from which a record counts as abusive.
-THRESHOLD = 0.7
+THRESHOLD = 0.45
 
 
 def _model(spark: SparkSession, sf_dir: str) -> abuse.Field:
