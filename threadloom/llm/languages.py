@@ -14,7 +14,8 @@ WORDS = {
     "зачем сколько нужно взял хотя раз иначе поэтому потому который мой свой лет себе кто чем чего опять просто",
     "uk": "і й в не на що з як це по але із у за те всі так його до ж ви б від ми для про вже якщо або ні була був вони коли щоб "
     "тільки краще потім де ще є немає я він вона мені мене тут там ось дуже після перед при без під треба можна варто чому "
-    "навіщо скільки потрібно взяв хоча раз інакше тому який мій свій ніж та цей щоби років собі хто чи бо",
+    "навіщо скільки потрібно взяв хоча раз інакше тому який мій свій ніж та цей щоби років собі хто чи бо то довше окремо довелося "
+    "дешевше обережно уважно спокійно поступово ввечері одразу придбати довелось треба немає маю",
     "en": "the of and to in is it you that was for on are with as at be this have from or had by not but what all were when we "
     "there can an your which their said if do will each about how up out them then she many some so these would other into has "
     "more her two him see my than first been who its now over just any only because after before why i he me they no did does "

@@ -50,7 +50,7 @@ _REFUSAL = re.compile(
     r"\bi do not give such advice|\bi don't give (?:such|that kind of)|\b(?:beyond|outside)(?: the scope of)? what i(?: a|')m allowed|against my (?:rules|guidelines|policy)|"
     r"\b(?:kann|darf|werde|möchte) (?:ich )?(?:ihnen |dir |dabei |das |diese\w* |hierbei |darauf |bei )*[^.!?\n]{0,25}(?:nicht|keine) ?[^.!?\n]{0,15}"
     r"(?:helfen|beantworten|antworten|besprechen|erfüllen|sprechen|geben)|\bich (?:kann|darf|werde)\b[^.!?\n]{0,30}\b(?:nicht|keine)\b[^.!?\n]{0,20}(?:helfen|beantwort|antworten|besprech|erfüll|sprechen)|"
-    r"\bich muss (?:das |dies |die antwort )?(?:leider )?(?:ablehnen|verweigern)|\bmuss ich (?:die antwort )?(?:ablehnen|verweigern)|\bgebe ich (?:keine|solche)|nicht erlaubt, (?:darüber|das)|"
+    r"\b(?:ich muss|muss ich)\b[^.!?\n]{0,30}(?:ablehnen|verweigern)|\bgebe ich (?:keine|solche)|nicht erlaubt, (?:darüber|das)|"
     r"\bno puedo (?:ayudar\w*|responder|contestar|hablar|cumplir|atender|dar|discutir|proporcionar)|\bno (?:me está permitido|estoy autorizad|voy a responder|doy (?:ese tipo|tales) )|"
     r"\b(?:debo|tengo que) (?:negarme|rechazar|rehusar|declinar))",
     re.I,
@@ -140,7 +140,8 @@ def is_copy(question: str, answer: str) -> bool:
         for skip in {0, *range(1, 9)} if 0 < lead <= 8 else {0}:
             rest = a[skip:]
             times = max(1, round(len(rest) / len(target)))
-            if len(rest) and edit_distance(rest, target * times) <= max(1, len(target) * times // 10):
+            reworded = 2 if len(target) >= 8 else 1  # one word, which may be written with a hyphen
+            if len(rest) and edit_distance(rest, target * times) <= max(reworded, len(target) * times // 10):
                 return True
     return False
 
