@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.stages import small_side
+
 #: Items of one size that one task ranks.
 RANK_ROWS = 200_000
 
@@ -128,7 +130,7 @@ def placed(items: DataFrame, size: str, keys: list[str], capacities: list[int],
 
     ``items`` is read three times and should be a written table. Items larger than the largest capacity are an error; items
     of no size are left out. Only the histogram of sizes, at most one row per size up to that capacity, is collected, and
-    only the plan made from it is broadcast.
+    only the plan made from it is broadcast, if it is small.
     """
     rows = items.filter(F.col(size) > 0)
     counts = {r["s"]: r["n"] for r in rows.groupBy(F.least(F.col(size), F.lit(max(capacities) + 1)).alias("s")).agg(F.count("*").alias("n")).collect()}
@@ -138,4 +140,4 @@ def placed(items: DataFrame, size: str, keys: list[str], capacities: list[int],
     places = items.sparkSession.createDataFrame(plan_rows, "_size int, start long, stop long, capacity int, base long, each int")
     ranked = ranked_by_size(rows, size, keys, max(counts.values(), default=1), rank_rows)
     hit = (F.col(size) == F.col("_size")) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop"))
-    return ranked.join(F.broadcast(places), hit).select(*items.columns, "capacity", F.expr("base + (rank - start) div each").alias("bin_no"))
+    return ranked.join(small_side(places, len(plan_rows)), hit).select(*items.columns, "capacity", F.expr("base + (rank - start) div each").alias("bin_no"))

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.stages import materialize
+from threadloom.stages import materialize, small_side
 
 
 def reservoir(rows: DataFrame, order: list[str], size: int, seed: int, total: int | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def reservoir(rows: DataFrame, order: list[str], size: int, seed: int, total: in
             slots[slot] = k
     kept = rows.sparkSession.createDataFrame([(k, s) for s, k in slots.items()], "_at long, slot int")
     placed = with_places(rows, order)
-    return placed.join(F.broadcast(kept), "_at").drop("_at")  # at most ``size`` rows
+    return placed.join(small_side(kept, len(slots)), "_at").drop("_at")
 
 
 def with_places(rows: DataFrame, order: list[str], name: str = "_at") -> DataFrame:

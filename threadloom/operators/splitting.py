@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.stages import small_side
+
 #: The shares of groups that go to train and to validation; the rest is test.
 TRAIN_SHARE, VALIDATION_SHARE = 0.9, 0.05
 NAMES = ("train", "validation", "test")
@@ -32,8 +34,6 @@ def assign_groups(rows: DataFrame, seed: int = 0, hashing: str = "sha256", bucke
     Ranks are exact without a global sort in one task: groups are counted per hash bucket, the two cuts are found in the
     running count of the buckets (at most ``buckets`` of them), and only the buckets that a cut falls into are ranked.
     """
-    from pyspark.sql import Window
-
     digest = group_digest(F.col("board"), F.col("thread_id"), seed, hashing)
     groups = rows.select("board", "thread_id").distinct().withColumn("digest", digest)
     place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
@@ -52,7 +52,7 @@ def assign_groups(rows: DataFrame, seed: int = 0, hashing: str = "sha256", bucke
         return F.when(rank < ends[0], NAMES[0]).when(rank < ends[1], NAMES[1]).otherwise(NAMES[2])
 
     starts = rows.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "bucket int, start long")
-    joined = groups.join(F.broadcast(starts), "bucket")  # bounded by ``buckets``
+    joined = groups.join(small_side(starts, len(before)), "bucket")
     order = Window.partitionBy("bucket").orderBy("digest", "board", "thread_id")
     inside = joined.filter(F.col("bucket").isin(mixed)).withColumn("split", name_at(F.col("start") + F.row_number().over(order) - 1))
     outside = joined.filter(~F.col("bucket").isin(mixed)).withColumn("split", name_at(F.col("start")))
@@ -62,8 +62,6 @@ def assign_groups(rows: DataFrame, seed: int = 0, hashing: str = "sha256", bucke
 def split_report(rows: DataFrame) -> DataFrame:
     """(board, split, threads, samples) of rows (board, thread_id, split), with a row of zeros where a board has none, and
     the totals under the null board."""
-    from itertools import product  # noqa: F401  (documents the zero-filled grid)
-
     names = F.explode(F.array(*map(F.lit, NAMES))).alias("split")
     per = rows.groupBy("board", "thread_id", "split").agg(F.count("*").alias("n"))
     sums = per.groupBy("board", "split").agg(F.count("*").alias("threads"), F.sum("n").alias("samples"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import html_to_post, references
@@ -56,14 +56,16 @@ def catalog_ids(payloads: DataFrame, payload: str = "payload", keys: list[str] |
 def thread_documents(payloads: DataFrame, payload: str = "payload", keys: list[str] | None = None) -> DataFrame:
     """(keys, title, ord, post_id, text, refs) of thread payloads: the first thread's posts with a text left after cleaning; the
     title is the first such post's subject, else the payload's."""
-    keys = keys or []
+    if not keys:
+        return thread_documents(payloads.withColumn("_k", F.monotonically_increasing_id()), payload, ["_k"]).drop("_k")
     shape = "title string, threads array<struct<posts:array<struct<num:bigint,comment:string,subject:string>>>>"
     parsed = payloads.select(*keys, F.from_json(payload, shape).alias("d"))
     posts = parsed.select(*keys, F.col("d.title").alias("root_title"), F.posexplode(F.element_at("d.threads", 1)["posts"]).alias("ord", "p"))
     clean = posts.select(*keys, "root_title", "ord", F.col("p.num").alias("post_id"), F.col("p.subject").alias("subject"), html_to_post("p.comment").alias("text"))
     kept = clean.filter("text is not null and text <> '' and post_id is not null").withColumn("refs", references("text"))
-    first = kept.groupBy(*keys).agg(F.min_by("subject", "ord").alias("first_subject")) if keys else kept.agg(F.min_by("subject", "ord").alias("first_subject"))
-    joined = kept.join(first, keys) if keys else kept.crossJoin(first)
+    # the first kept post of a payload, by a window over its few posts, so that the payload is parsed once
+    first = F.first("subject").over(Window.partitionBy(*keys).orderBy("ord"))
+    joined = kept.withColumn("first_subject", first)
     subject = F.when(F.trim("first_subject") != "", F.col("first_subject"))
     return joined.select(*keys, F.coalesce(subject, "root_title").alias("title"), "ord", "post_id", "text", "refs")
 

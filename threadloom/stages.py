@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _OPEN: set[tuple[str, str]] = set()
@@ -62,6 +63,15 @@ def write_bytes(spark: SparkSession, name: str, content: bytes) -> str:
     return path
 
 
+#: Rows of a table made on the driver up to which it is broadcast; a larger one is joined like any other.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its ``rows``, which the caller has counted, are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it; removed when the process ends."""
     return Stage(df, label).df
