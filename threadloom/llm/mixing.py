@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.stages import small_side
+
 #: Seeds of which each source takes the one whose draw comes closest to its target.
 TRIALS = 16
 
@@ -81,10 +83,10 @@ def mix(documents: DataFrame, targets: dict[str, Target], total_tokens: float |
     base = spark.createDataFrame([(s, c, 0) for s, c in steps.items()], schema).drop("seed")
     # Each source keeps the seed whose draw is closest to its aim.
     sums = [F.sum(drawn(_uniform(F.lit(seed * 1000 + k))) * F.col("tokens")).alias(f"t{k}") for k in range(TRIALS)]
-    tried = rows.join(F.broadcast(base), "source").groupBy("source").agg(*sums).collect()
+    tried = rows.join(small_side(base, len(steps)), "source").groupBy("source").agg(*sums).collect()
     best = {r["source"]: seed * 1000 + min(range(TRIALS), key=lambda k: abs(r[f"t{k}"] - aims[r["source"]])) for r in tried}
     chosen = spark.createDataFrame([(s, c, best.get(s, 0)) for s, c in steps.items()], schema)
-    copies = rows.join(F.broadcast(chosen), "source").withColumn("copies", drawn(_uniform(F.col("seed"))))
+    copies = rows.join(small_side(chosen, len(steps)), "source").withColumn("copies", drawn(_uniform(F.col("seed"))))
     return (
         copies.filter("copies > 0")
         .select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))

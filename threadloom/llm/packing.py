@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.packing import RANK_ROWS, plan, ranked_by_size, slots
+from threadloom.stages import small_side
 
 #: Containers of one tier that make up a step.
 STEP_BINS = 8
@@ -51,7 +52,7 @@ def pack(parts: DataFrame, capacities: dict[str, int], step_bins: int = STEP_BIN
     lap = F.expr("cast(bin_no div n_steps as bigint)")
     seat = F.expr("bin_no % n_steps")
     return (
-        ranked.join(F.broadcast(places), hit)  # bounded by the sizes below the largest capacity, not by the documents
+        ranked.join(small_side(places, len(rows)), hit)
         .select(
             "doc_id", "piece_no", "token_from", "tokens", "bin_kind",
             F.expr("base + (rank - start) div each").alias("bin_no"),

@@ -106,7 +106,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("b").alias("bins"), F.sum("n").alias("items"), F.sum("st").alias("tokens"), F.max("mt").alias("fullest"),
             F.count("*").alias("steps"), (F.max("st") - F.min("st")).alias("step_spread"),
         )
-        .join(F.broadcast(sizes), "bin_kind")
+        .join(sizes, "bin_kind")
         .withColumn("used_share", F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")))
     )
 
