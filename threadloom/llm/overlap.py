@@ -25,7 +25,7 @@ from threadloom.stages import Stage
 SHINGLE, LEAST_WORDS, WORDS_PER_EDIT = 5, 40, 10
 
 _TEXTS = "record long, eval boolean, source string, split_name string, cls string, n int, words string"
-_GRAMS = "cls string, n int, grams array<long>"
+_GRAMS = "rep long, n int, ev boolean, tr boolean, grams array<long>"
 
 
 def _to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,9 +57,8 @@ def shingle_hashes(words: list[str], size: int = SHINGLE) -> list[int]:
 
 def _to_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cls, n, words = (c for c in batch.columns)
-        grams = [shingle_hashes(w.split(" ")) for w in words.to_pylist()]
-        yield pa.RecordBatch.from_arrays([cls, n, pa.array(grams, pa.list_(pa.int64()))], names=["cls", "n", "grams"])
+        grams = [shingle_hashes(w.split(" ")) for w in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grams, pa.list_(pa.int64()))], names=["rep", "n", "ev", "tr", "grams"])
 
 
 def edit_distance(a: list[str], b: list[str]) -> int:
@@ -104,49 +103,46 @@ def _close(a: pd.Series, b: pd.Series) -> pd.Series:
 def read_texts(records: DataFrame) -> DataFrame:
     """Records (record bigint, eval boolean, source string, split_name string, texts array<string>) with their words and
     the class of texts with the same words. Texts of fewer than ``LEAST_WORDS`` words, null and empty ones are left out,
-    as are records whose ``eval`` is null. Null texts in an array count as empty."""
+    as are records whose ``eval`` is null. Null texts in an array count as empty. A record
+    may be repeated, but a record number belongs to one text."""
     rows = records.filter("record is not null and eval is not null").select("record", "eval", "source", "split_name", "texts")
     return rows.mapInArrow(_to_words, _TEXTS)
 
 
 def matching_classes(texts: DataFrame) -> DataFrame:
     """(a, b) of classes of ``read_texts`` that match, a with training and b with evaluation records; a = b for copies."""
+    # A class goes by its smallest record in what follows: exploded shingles then take 20 bytes a row.
+    sides = (F.max("eval").alias("ev"), F.max(~F.col("eval")).alias("tr"))
     classes = Stage(
-        texts.groupBy("cls").agg(F.min("n").alias("n"), F.min("words").alias("words"), F.max("eval").alias("ev"), F.max(~F.col("eval")).alias("tr")),
-        "classes",
+        texts.groupBy("cls").agg(F.min("record").alias("rep"), F.min("n").alias("n"), F.min("words").alias("words"), *sides), "classes"
     ).df
-    grams = Stage(classes.select("cls", "n", "words").mapInArrow(_to_grams, _GRAMS), "grams").df
-    each = grams.select("cls", "n", F.explode("grams").alias("gram"))
-    counts = each.groupBy("gram").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "gram"))
-    m = F.col("n") - (SHINGLE - 1)
+    grams = Stage(classes.select("rep", "n", "ev", "tr", "words").mapInArrow(_to_grams, _GRAMS), "grams").df
+    each = grams.select("rep", "n", "ev", "tr", F.explode("grams").alias("gram"))
+    # Shingles of one class only are the rarest and need no count.
+    counts = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "gram"))
     edits = F.floor(F.col("n") / (WORDS_PER_EDIT - 1))
     prefix = (
-        each.join(counts, "gram")
-        .select("cls", "n", "gram", "df", rank.alias("at"))
+        each.join(counts, "gram", "left")
+        .select("rep", "n", "ev", "tr", "gram", F.coalesce("df", F.lit(1)).alias("df"))
+        .withColumn("at", rank)
         .filter((F.col("at") <= SHINGLE * edits + 1) & (F.col("df") > 1))
-        .withColumn("m", m)
     )
-    sides = Stage(prefix.join(classes.select("cls", "ev", "tr"), "cls").select("cls", "n", "gram", "at", "m", "ev", "tr"), "prefix").df
-    index = sides.filter("ev").select("gram", *(F.col(c).alias(c + "_b") for c in ("cls", "n", "at", "m")))
-    probe = sides.filter("tr").select("gram", *(F.col(c).alias(c + "_a") for c in ("cls", "n", "at", "m")))
+    held = Stage(prefix.select("rep", "n", "ev", "tr", "gram", "at"), "prefix").df.withColumn("m", F.col("n") - (SHINGLE - 1))
+    index = held.filter("ev").select("gram", *(F.col(c).alias(c + "_b") for c in ("rep", "n", "at", "m")))
+    probe = held.filter("tr").select("gram", *(F.col(c).alias(c + "_a") for c in ("rep", "n", "at", "m")))
     longer = F.greatest("n_a", "n_b")
     allowed = F.floor(longer / WORDS_PER_EDIT)
     needed = longer - (SHINGLE - 1) - SHINGLE * allowed
     at_most = 1 + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
     candidates = (
         probe.join(index, "gram")
-        .filter((F.abs(F.col("n_a") - F.col("n_b")) <= allowed) & (at_most >= needed) & (F.col("cls_a") != F.col("cls_b")))
-        .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+        .filter((F.abs(F.col("n_a") - F.col("n_b")) <= allowed) & (at_most >= needed) & (F.col("rep_a") != F.col("rep_b")))
+        .select(F.col("rep_a").alias("ra"), F.col("rep_b").alias("rb"))
         .distinct()
     )
-    text = classes.select("cls", "words")
-    near = (
-        candidates.join(text.withColumnsRenamed({"cls": "a", "words": "x"}), "a")
-        .join(text.withColumnsRenamed({"cls": "b", "words": "y"}), "b")
-        .filter(_close("x", "y"))
-        .select("a", "b")
-    )
+    text = lambda side, words: classes.select(F.col("rep").alias("r" + side), F.col("cls").alias(side), F.col("words").alias(words))
+    near = candidates.join(text("a", "x"), "ra").join(text("b", "y"), "rb").filter(_close("x", "y")).select("a", "b")
     same = classes.filter("ev and tr").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     return near.unionByName(same)
 
