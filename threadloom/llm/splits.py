@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import stripped
 from threadloom.llm.records import newest_samples
 from threadloom.stages import Stage
 
@@ -147,7 +148,7 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) ->
 
 def author_key(tag):
     """The tripcode of an author tag, from its first ``!`` on without outer blanks; null where the tag holds none."""
-    code = F.trim(F.regexp_extract(tag, r"(?s)(!.*)$", 1))
+    code = stripped(F.regexp_extract(tag, r"(?s)(!.*)$", 1))
     return F.when(F.length(code) > 1, code)
 
 
