@@ -189,7 +189,7 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
 def train_bpe(texts: DataFrame, text: str, path: str, vocabulary: int = 8192, least: int = 2) -> None:
     """Train a byte-level BPE tokenizer with the special tokens on a column of texts and save it as one JSON file.
 
-    The reference operator's trainer reads the corpus as a stream; texts reach the driver one partition at a time.
+    The trainer runs on the driver and reads the corpus as a stream, one partition at a time.
     """
     if vocabulary < 256 + len(SPECIAL_TOKENS):
         raise ValueError("the vocabulary is smaller than the bytes and special tokens")
