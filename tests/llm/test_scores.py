@@ -106,3 +106,13 @@ def test_trees_learn_a_rule():
     y = ((x[:, 1] > 0.5) & (x[:, 3] < 0.6)).astype(int)
     trees = spam.fit(x[:400], y[:400])
     assert np.mean((spam.predict(trees, x[400:]) > 0.5) == y[400:]) > 0.93
+
+
+def test_held_out_examples(spark):
+    """Fitted on four fifths of the labelled examples, some of whose labels are wrong, and scored on the rest."""
+    from threadloom.llm.q_abuse import THRESHOLD
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/abuse_examples.parquet").orderBy("example_id").collect()
+    held = [r for k, r in enumerate(rows) if k % 5 == 0]
+    found = abuse.Tagger(abuse.fit([(r["text"], r["is_abusive"]) for k, r in enumerate(rows) if k % 5]))
+    assert np.mean([(score(found, r["text"]) >= THRESHOLD) == bool(r["is_abusive"]) for r in held]) > 0.94
