@@ -100,6 +100,27 @@ def test_lists_for_readers_are_no_spam(text):
     assert spam.weak_label(spam.page_features(text)) == 0
 
 
+STUFFED = ", ".join(f"купить {x} дёшево" for x in WORDS[:12])
+LOGGED = "\n".join(f"0{k}:36:2{k} WARN zorn{k}: retry={k}" for k in range(9))
+
+
+@pytest.mark.parametrize("text", [
+    f"```\n{STUFFED}\n```", f"```{STUFFED}", f"``` {STUFFED} ```\n{STUFFED}", "Вчера сосед чинил автобус.\n```\n" + f"{STUFFED}\n" * 5,
+    "```\n" + "\n".join(f"0{k}:36:2{k} WARN купить дёшево zorn{k}: a={k}" for k in range(9)) + "\n```",
+])
+def test_fenced_text_is_measured(text):
+    assert spam.page_features(text)[-1] > spam.page_features("Вчера сосед чинил автобус.")[-1]
+    assert spam.weak_label(spam.page_features(text)) == 1
+
+
+@pytest.mark.parametrize("text", [
+    f"```\n{LOGGED}\n```", LOGGED, f"Вчера сосед чинил автобус, и это заметно.\n```\n{LOGGED}",
+    "```python\nimport os\nfrom os import path\nx = path.join(a)\ndef f(x):\n    y = x[1]\n    g(x, y);\n```",
+])
+def test_logs_and_code_are_for_readers(text):
+    assert spam.weak_label(spam.page_features(text)) == 0
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(1)
     x = rng.random((600, 5))

@@ -51,7 +51,14 @@ OFFER = re.compile(
     r"auf lager|jetzt bestellen|en stock|sitio oficial|tienda online|en línea)\b"
 )
 CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-ÞЀ-ЯҐ]{3,}\b")
-FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
+#: Lines of logs (a time and a level or a named value, or a level first) and of code.
+RECORD = re.compile(
+    r"^[ \t]*(?:\[?(?:\d{4}[-/.]\d\d[-/.]\d\d[T ]?)?\d{1,2}:\d\d:\d\d[^\n]*?(?:\b(?:trace|debug|info|notice|warn(?:ing)?|error|fatal|critical)\b|\w=\w|\w\[\d+\]:)|"
+    r"\[?(?:trace|debug|info|notice|warn(?:ing)?|error|fatal|critical)(?:\]|:)|[A-Za-z_][\w.]*\([^\n]*\)[ \t]*[;{:][ \t]*$|"
+    r"(?:[A-Za-z_][\w.]* ){0,2}[A-Za-z_][\w.\[\]]*[ \t]*[-+*/:]?=[ \t]*[^\s=]|from [\w.]+ import \w|import [\w.]+;?[ \t]*$|#include[ \t]*[<\"]|"
+    r"return\b[^\n]*;[ \t]*$|(?:def|func|function|fn) \w+\()",
+    re.I | re.M,
+)
 HREF = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\s\"'>]+)[^>]*>(.*?)</a>", re.I | re.S)
 ENTRY = re.compile(r"\n+|(?<=[.!?…])\s+|\s*[|;·•»]\s*|\s+/\s+")
 MONEY = re.compile(r"\d\s*(?:руб|грн|eur\b|usd\b|euros?\b|€|\$|£|₽|₴|bucks)|[€$£]\s*\d", re.I)
@@ -69,11 +76,22 @@ FEATURES = (
 )
 
 
+def _is_record(line: str) -> bool:
+    """A line of a log or of code, without offers, searches, links, prices or a list."""
+    if not RECORD.match(line) or URL.search(line) or MONEY.search(line) or sum(map(line.count, ",|·•")) > 3:
+        return False
+    low = line.casefold()
+    return not QUERY.search(low) and not OFFER.search(low) and all(_kind(w) != 2 for w in WORD.findall(low))
+
+
 def page_features(text: str) -> list[float] | None:
-    """Measures of a whole page, in the order of FEATURES; None for a page without words."""
+    """Measures of a whole page, in the order of FEATURES; None for a page without words.
+
+    Text in ``` fences is measured like any other. Lines of logs and code, in a fence or not, count as prose: they are for readers.
+    """
     if "<" in text:
         text = HREF.sub(r" \2 \1\n", text)
-    text = visible(FENCE.sub("\n", text) if "```" in text else text)
+    text = visible(text.replace("```", "\n") if "```" in text else text)
     urls = URL.findall(text)
     bare = URL.sub(" ", text) if urls else text
     low = bare.casefold()
@@ -87,7 +105,19 @@ def page_features(text: str) -> list[float] | None:
     top = counts.most_common(4)
     of = max(1, len(words))
     prose = short = entries = function = 0
-    entered, queries = QUERY.subn(" ", low)
+    rest = low
+    if RECORD.search(text):
+        kept = []
+        for line in text.split("\n"):
+            if _is_record(line):
+                ws = WORD.findall(line.casefold())
+                entries += 1
+                prose += len(ws)
+                function += sum(_kind(w) for w in ws)
+            else:
+                kept.append(line)
+        rest = URL.sub(" ", "\n".join(kept)).casefold()
+    entered, queries = QUERY.subn(" ", rest)
     entered, commerce = OFFER.subn(" ", entered)
     for entry in ENTRY.split(entered):
         ws = WORD.findall(entry)
