@@ -137,3 +137,13 @@ def test_held_out_examples(spark):
     held = [r for k, r in enumerate(rows) if k % 5 == 0]
     found = abuse.Tagger(abuse.fit([(r["text"], r["is_abusive"]) for k, r in enumerate(rows) if k % 5]))
     assert np.mean([(score(found, r["text"]) >= THRESHOLD) == bool(r["is_abusive"]) for r in held]) > 0.94
+
+
+def test_share_of_spam_is_kept_by_the_sample(spark):
+    rng = np.random.default_rng(4)
+    of = lambda k, n, weak: [(k + j, "a", [float(weak if rng.random() < 0.7 else 0.5), float(rng.random())], weak) for j in range(n)]
+    rows = spark.createDataFrame(of(0, 2000, 0) + of(2000, 200, 1), "doc_id long, host string, x array<double>, weak int").cache()
+    unsure = {r["doc_id"] for r in rows.filter("x[0] = 0.5").collect()}
+    for fit_pages in (100, 5000):
+        got = [r["tree_score"] for r in spam.scored(rows, fit_pages).collect() if r["doc_id"] in unsure]
+        assert 0.03 < np.mean(got) < 0.2

@@ -46,10 +46,11 @@ QUERY = re.compile(
 URL = re.compile(r"(?:\b(?:https?|ftp)://|\bwww\.)[^\s<>\[\]\"']+|\[/?url[^\]]*\]", re.I)
 WORD = re.compile(r"[^\W_]+")
 #: Set phrases of offers whose small words are no sign of a sentence.
-OFFER = re.compile(
-    r"\b(?:в наличии|официальный сайт|интернет магазин|в наявності|офіційний сайт|in stock|order now|online store|official site|"
-    r"auf lager|jetzt bestellen|en stock|sitio oficial|tienda online|en línea)\b"
-)
+OFFERS = (
+    "в наличии|официальный сайт|интернет магазин|в наявності|офіційний сайт|in stock|order now|online store|official site|"
+    "auf lager|jetzt bestellen|en stock|sitio oficial|tienda online|en línea"
+).split("|")
+OFFER = re.compile(rf"\b(?:{'|'.join(OFFERS)})\b")
 CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-ÞЀ-ЯҐ]{3,}\b")
 #: Lines of logs (a time and a level or a named value, or a level first) and of code.
 RECORD = re.compile(
@@ -57,7 +58,7 @@ RECORD = re.compile(
     r"\[?(?:trace|debug|info|notice|warn(?:ing)?|error|fatal|critical)(?:\]|:)|[A-Za-z_][\w.]*\([^\n]*\)[ \t]*[;{:][ \t]*$|"
     r"(?:[A-Za-z_][\w.]* ){0,2}[A-Za-z_][\w.\[\]]*[ \t]*[-+*/:]?=[ \t]*[^\s=]|from [\w.]+ import \w|import [\w.]+;?[ \t]*$|#include[ \t]*[<\"]|"
     r"return\b[^\n]*;[ \t]*$|(?:def|func|function|fn) \w+\()",
-    re.I | re.M,
+    re.I,
 )
 HREF = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\s\"'>]+)[^>]*>(.*?)</a>", re.I | re.S)
 ENTRY = re.compile(r"\n+|(?<=[.!?…])\s+|\s*[|;·•»]\s*|\s+/\s+")
@@ -92,21 +93,19 @@ def page_features(text: str) -> list[float] | None:
     if "<" in text:
         text = HREF.sub(r" \2 \1\n", text)
     text = visible(text.replace("```", "\n") if "```" in text else text)
-    urls = URL.findall(text)
+    urls = URL.findall(text) if "://" in text or "www." in (folded := text.casefold()) or "url" in folded else []
     bare = URL.sub(" ", text) if urls else text
     low = bare.casefold()
     words = WORD.findall(low)
     n = len(words) + len(urls)
     if not n:
         return None
-    counts = Counter(words)
-    for w in [w for w in counts if len(w) < 3]:
-        del counts[w]
-    top = counts.most_common(4)
+    counts = Counter([w for w in words if len(w) >= 3])
+    top = sorted(counts.values(), reverse=True)[:4]
     of = max(1, len(words))
     prose = short = entries = function = 0
     rest = low
-    if RECORD.search(text):
+    if any(map(RECORD.match, text.split("\n"))):
         kept = []
         for line in text.split("\n"):
             if _is_record(line):
@@ -118,7 +117,7 @@ def page_features(text: str) -> list[float] | None:
                 kept.append(line)
         rest = URL.sub(" ", "\n".join(kept)).casefold()
     entered, queries = QUERY.subn(" ", rest)
-    entered, commerce = OFFER.subn(" ", entered)
+    entered, commerce = OFFER.subn(" ", entered) if any(x in entered for x in OFFERS) else (entered, 0)
     for entry in ENTRY.split(entered):
         ws = WORD.findall(entry)
         if not ws:
@@ -142,7 +141,6 @@ def page_features(text: str) -> list[float] | None:
         if priced and MONEY.search(line):
             rest = WORD.findall(line.casefold())
             money_lines += sum(w in FUNCTION for w in rest) <= 0.08 * len(rest)
-    pairs = list(zip(words, words[1:]))
     return [
         prose / n,
         function / of,
@@ -151,10 +149,10 @@ def page_features(text: str) -> list[float] | None:
         sum(map(len, urls)) / max(1, len(text)),
         link_lines / max(1, len(lines)),
         money_lines / max(1, len(lines)),
-        top[0][1] / of if top else 0.0,
-        sum(c for _, c in top) / of,
+        top[0] / of if top else 0.0,
+        sum(top) / of,
         len(counts) / of**0.85,
-        1.0 - len(set(pairs)) / max(1, len(pairs)),
+        1.0 - len(set(zip(words, words[1:]))) / max(1, len(words) - 1),
         len(GLUED.findall(bare)) / of,
         short / max(1, entries),
         min(of / max(1, entries), 60.0),
@@ -189,12 +187,12 @@ def _kind(word: str) -> int:
 Tree = list[tuple[int, float, int, int, float]]
 
 
-def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Tree:
+def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> Tree:
     """A decision tree as nodes (feature, threshold, left, right, share of spam); feature -1 is a leaf."""
     nodes: Tree = []
 
     def grow(at: np.ndarray, depth: int) -> int:
-        me, share = len(nodes), float(y[at].mean())
+        me, share = len(nodes), float(np.average(y[at], weights=w[at]))
         nodes.append((-1, 0.0, -1, -1, share))
         if depth == DEPTH or len(at) < 2 * LEAST_LEAF or share in (0.0, 1.0):
             return me
@@ -202,13 +200,13 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Tree:
         gini = lambda p: 2 * p * (1 - p)
         for j in rng.permutation(x.shape[1])[: max(3, x.shape[1] // 2)]:
             order = at[np.argsort(x[at, j], kind="stable")]
-            v, c = x[order, j], np.cumsum(y[order])
+            v, c, m = x[order, j], np.cumsum(y[order] * w[order]), np.cumsum(w[order])
             k = np.arange(1, len(order))
             ok = (v[1:] > v[:-1]) & (k >= LEAST_LEAF) & (len(order) - k >= LEAST_LEAF)
             if not ok.any():
                 continue
-            left, right = c[:-1] / k, (c[-1] - c[:-1]) / (len(order) - k)
-            gain = np.where(ok, gini(share) - (k * gini(left) + (len(order) - k) * gini(right)) / len(order), 0)
+            left, right = c[:-1] / m[:-1], (c[-1] - c[:-1]) / (m[-1] - m[:-1])
+            gain = np.where(ok, gini(share) - (m[:-1] * gini(left) + (m[-1] - m[:-1]) * gini(right)) / m[-1], 0)
             i = int(gain.argmax())
             if gain[i] > best[0]:
                 best = (float(gain[i]), int(j), float((v[i] + v[i + 1]) / 2))
@@ -223,10 +221,11 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Tree:
     return nodes
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 0) -> list[Tree]:
-    """Bagged trees: each is grown on its own draw of the rows with replacement."""
+def fit(x: np.ndarray, y: np.ndarray, seed: int = 0, weights: np.ndarray | None = None) -> list[Tree]:
+    """Bagged trees: each is grown on its own draw of the rows with replacement; ``weights`` says for how many each row stands."""
     rng = np.random.default_rng(seed)
-    return [_grow(x[at], y[at], rng) for at in (rng.integers(0, len(y), len(y)) for _ in range(TREES))]
+    w = np.ones(len(y)) if weights is None else weights
+    return [_grow(x[at], y[at], w[at], rng) for at in (rng.integers(0, len(y), len(y)) for _ in range(TREES))]
 
 
 def predict(trees: list[Tree], x: np.ndarray) -> np.ndarray:
@@ -266,14 +265,17 @@ def scored(rows: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
 
     ``tree_score`` is the trees' share, ``score`` the share after the host's spam rate is added to the log-odds. Pages without
     words score 0. Null hosts are a host of their own. Where no page of one kind can be labelled, the weak labels alone
-    decide: 1 for spam beyond doubt, else 0. Repeated rows are scored like any others.
+    decide: 1 for spam beyond doubt, else 0. Repeated rows are scored like any others. In the fit a page stands for all those
+    of its kind, so that the share of spam fitted to is that of all labelled pages, whatever ``fit_pages`` leaves out.
     """
-    sample = []
+    sample, weights = [], []
+    labelled = {r["weak"]: r["count"] for r in rows.filter("weak is not null").groupBy("weak").count().collect()}  # two rows at most
     for kind in (0, 1):
-        chosen = rows.filter(F.col("weak") == kind).select("x", "weak", F.xxhash64("x").alias("h")).orderBy("h").limit(fit_pages)
-        sample += chosen.collect()
+        chosen = rows.filter(F.col("weak") == kind).select("x", "weak", F.xxhash64("x").alias("h")).orderBy("h").limit(fit_pages).collect()
+        sample += chosen
+        weights += [labelled[kind] / len(chosen)] * len(chosen) if chosen else []
     x, y = np.array([r["x"] for r in sample]), np.array([r["weak"] for r in sample])
-    trees = fit(x, y) if len(set(y.tolist())) == 2 else None
+    trees = fit(x, y, weights=np.array(weights)) if len(set(y.tolist())) == 2 else None
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
