@@ -69,3 +69,12 @@ def test_terminal_counts(spark):
     rows = spark.createDataFrame([("A cat. The cat sat\nthe end",), (None,), ("",)], "text string")
     got = {r["word"]: (r["n"], r["ends"], r["low"], r["dots"]) for r in pairs.terminal_counts(rows).collect()}
     assert got["cat"] == (2, 1, 2, 1) and got["the"] == (2, 0, 1, 0) and got["end"] == (1, 1, 1, 0) and got["sat"] == (1, 1, 1, 0)
+
+
+@pytest.mark.parametrize("question, answer, copy", [
+    ("how are you", "How are you?", True), ("what is this", "What is this", True), ("how do i fix it", "How do I fix it?", True), ("how do i fix it", "how do i repair it", True),
+    ("where to buy tea", "You asked: where to buy tea", True), ("Why?", "Why?", True), ("And now?", "and now", True), ("And now?", "And now? And now?", True),
+    ("And now?", "And then?", False), ("Why?", "Why not?", False), ("how are you", "I am fine, and how are you", False), ("Why?", "Because.", False),
+])
+def test_copies_of_short_questions(question, answer, copy):
+    assert pairs.is_copy(question, answer) is copy

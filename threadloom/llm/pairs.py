@@ -20,8 +20,9 @@ from threadloom.llm.overlap import edit_distance
 from threadloom.llm.text import TAG, WORD, plain_words, visible
 from threadloom.stages import materialize
 
-#: Answers that compress to at most this share with the question as dictionary are looked at as copies.
-COPY_RATIO = 0.6
+#: Answers that compress to at most this share with the question as dictionary are looked at as copies. Questions of up to
+#: SHORT bytes are compared word by word at once: the fixed size of a frame would hide their copies.
+COPY_RATIO, SHORT = 0.6, 200
 #: A word met at least OFTEN times that ends at most this share of its sentences, lines and texts demands more.
 OFTEN, END_SHARE = 25, 0.012
 #: A last word is cut if it is met inside texts at most this share of the times that it ends one, and a longer word that begins
@@ -121,13 +122,14 @@ _INTRO_END = re.compile(r"[:—–\n«\"„“>]")
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """The answer is the question again: once or repeated, up to a word in ten (one at least), after no more than a short
-    introduction, and nothing after it."""
+    """The answer is the question again: once or repeated, up to a word in ten (one at least, none in questions of one or two
+    words), after no more than a short introduction, and nothing after it."""
     q, shown = plain_words(question), visible(answer)
     a = plain_words(answer)
-    if len(q) < 3 or len(a) < max(3, len(q) // 2):
+    if not q or len(a) < max(min(3, len(q)), len(q) // 2):
         return False
-    if copy_share(" ".join(q), " ".join(a)) > COPY_RATIO:
+    asked = " ".join(q)
+    if len(asked.encode("utf-8", "replace")) > SHORT and copy_share(asked, " ".join(a)) > COPY_RATIO:
         return False
     targets = [q]
     parts = [plain_words(s) for s in re.split(r"(?<=[.!?])\s+|\n+", question)]
@@ -137,11 +139,13 @@ def is_copy(question: str, answer: str) -> bool:
     if hit:
         lead = len(plain_words(shown[: hit.start()]))
     for target in targets:
+        known = set(target)
         for skip in {0, *range(1, 9)} if 0 < lead <= 8 else {0}:
             rest = a[skip:]
             times = max(1, round(len(rest) / len(target)))
             reworded = 2 if len(target) >= 8 else 1  # one word, which may be written with a hyphen
-            if len(rest) and edit_distance(rest, target * times) <= max(reworded, len(target) * times // 10):
+            most = max(reworded, len(target) * times // 10) if len(target) > 2 else 0
+            if len(rest) and sum(w not in known for w in rest) <= most and edit_distance(rest, target * times) <= most:
                 return True
     return False
 
