@@ -78,3 +78,14 @@ def test_terminal_counts(spark):
 ])
 def test_copies_of_short_questions(question, answer, copy):
     assert pairs.is_copy(question, answer) is copy
+
+
+def test_only_the_requested_language_is_exempt():
+    german = "Der Deckel ist alt und das Wasser wird nicht warm, weil die Dichtung fehlt."
+    spanish = "La tapa es vieja y el agua no se calienta, porque falta la junta de la olla."
+    asks = "Please translate this sentence into German: the lid is old and the water does not get warm."
+    assert pairs.is_other_language(asks, spanish) and not pairs.is_other_language(asks, german)
+    mentions = "What is the word for this in English, and why does the water not get warm?"
+    assert pairs.is_other_language(mentions, spanish) and not pairs.is_other_language(mentions, "It is the lid, and the water is not warm.")
+    assert not pairs.is_other_language("Please translate this for me, it is from the old book of my friend.", spanish)
+    assert not pairs.is_other_language("How do I say this in French, and what is the word for it?", spanish)

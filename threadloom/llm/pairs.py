@@ -68,6 +68,12 @@ _ASKS = re.compile(
     r"\b(?:auf|ins) (?:deutsch\w*|englisch\w*|spanisch\w*|russisch\w*|ukrainisch\w*)|\b(?:en|al) (?:inglés|alemán|español|ruso|ucraniano)\b",
     re.I,
 )
+#: Languages that a question can name, by the code in LANGUAGES; others are kept as named.
+_NAMED = {
+    "en": re.compile(r"\b(?:английск|англійськ|english|englisch|inglés|ingles\b)", re.I), "de": re.compile(r"\b(?:немецк|німецьк|german\b|deutsch|alemán|aleman\b)", re.I),
+    "es": re.compile(r"\b(?:испанск|іспанськ|spanish|spanisch|español|espanol|castellano)", re.I), "ru": re.compile(r"\b(?:русск|російськ|russian|russisch|ruso\b)", re.I),
+    "uk": re.compile(r"\b(?:украинск|українськ|ukrainian|ukrainisch|ucraniano)", re.I), "other": re.compile(r"\b(?:французск|французьк|french|französisch|francés)", re.I),
+}
 _REF = re.compile(r">>\d+|\[(?:/?[a-z]{1,5}|\d+)\]|&[a-z]+;")
 _LETTER = re.compile(r"[^\W_]|[\U0001F000-\U0001FAFF☀-➿]")
 _OPENERS = {"(": ")", "[": "]", "{": "}", "«": "»", "„": "“"}
@@ -160,12 +166,17 @@ def _sure_language(text: str) -> tuple[str | None, float]:
 
 
 def is_other_language(question: str, answer: str) -> bool:
-    """The answer is mainly in another language than the question, which doesn't ask for that."""
-    if _ASKS.search(question):
-        return False
+    """The answer is mainly in another language than the question, which doesn't ask for that: it names no such language, and
+    doesn't ask for a translation without naming any."""
     asked, _ = _sure_language(question)
     said, weight = _sure_language(answer)
-    return asked is not None and said is not None and asked != said and weight >= 1.5 and len(plain_words(answer)) >= 3
+    if asked is None or said is None or asked == said:
+        return False
+    if _ASKS.search(question):
+        named = {code for code, word in _NAMED.items() if word.search(question)}
+        if not named or "other" in named or said in named:
+            return False
+    return weight >= 1.5 and len(plain_words(answer)) >= 3
 
 
 def terminal_counts(texts: DataFrame) -> DataFrame:
