@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from threadloom.llm import overlap, splits
+from threadloom.llm import overlap, q_overlap, splits
 
 
 def components(rows):
@@ -106,3 +106,15 @@ def test_overlap_equals_all_pairs(spark):
     }
     assert got == want and len(want) > 20
     assert overlap.matching_classes(texts.limit(0)).collect() == []
+
+
+def test_overlap_is_counted_on_both_sides(spark):
+    text = lambda k, n=50: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [
+        (1, False, "a", "train", [text(1)]), (2, False, "a", "train", [text(1)]), (3, False, "b", "train", [text(1) + " new"]), (4, False, "b", "train", [text(2)]),
+        (5, True, "a", "test", [text(1)]), (6, True, "c", "validation", [text(1)]), (7, True, "c", "validation", [text(3)]),
+    ]
+    df = spark.createDataFrame(rows, "record long, eval boolean, source string, split_name string, texts array<string>")
+    texts = overlap.read_texts(df).cache()
+    got = {tuple(r) for r in q_overlap.overlap_report(texts, overlap.matching_classes(texts).cache()).collect()}
+    assert got == {("train", "a", 2, 2, 4), ("train", "b", 2, 1, 2), ("test", "a", 1, 1, 3), ("validation", "c", 2, 1, 3)}

@@ -31,15 +31,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("train", "eval").alias("sample_a"), F.greatest("train", "eval").alias("sample_b")).distinct()
 
 
-def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation samples that occur in train and the pairs, by split and board of the evaluation sample."""
-    texts = _texts(spark, sf_dir)
-    matches = materialize(O.matching_classes(texts), "matches")
-    train = texts.filter("not eval").groupBy(F.col("cls").alias("a")).agg(F.count("*").alias("k"))
-    per_class = matches.join(train, "a").groupBy("b").agg(F.sum("k").alias("partners"))
-    held = texts.filter("eval").select(F.col("cls").alias("b"), "record", F.col("source").alias("board"), "split_name")
+def overlap_report(texts: DataFrame, matches: DataFrame) -> DataFrame:
+    """(split_name, board, samples, overlapping, pairs) of ``texts`` and their written ``matches``, counted by class on either side."""
+    sides = []
+    for held, own, other in (("eval", "b", "a"), ("not eval", "a", "b")):
+        rest = texts.filter(f"not ({held})").groupBy(F.col("cls").alias(other)).agg(F.count("*").alias("k"))
+        per_class = matches.join(rest, other).groupBy(own).agg(F.sum("k").alias("partners"))
+        rows = texts.filter(held).select(F.col("cls").alias(own), "record", F.col("source").alias("board"), "split_name")
+        sides.append(rows.join(per_class, own, "left").select("split_name", "board", "partners"))
     return (
-        held.join(per_class, "b", "left")
+        sides[0].unionByName(sides[1])
         .groupBy("split_name", "board")
         .agg(
             F.count("*").alias("samples"),
@@ -49,5 +50,11 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that occur on the other side (train, or validation and test) and the pairs, by split and board of the sample."""
+    texts = _texts(spark, sf_dir)
+    return overlap_report(texts, materialize(O.matching_classes(texts), "matches"))
+
+
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
 ORACLES: dict[str, str] = {}
