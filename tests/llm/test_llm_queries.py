@@ -36,3 +36,10 @@ def test_every_record_is_covered(spark):
     assert QUERIES["p5_scores"](spark, SF).count() == samples + posts
     assert QUERIES["p6_tokens"](spark, SF).count() == samples + documents
     assert QUERIES["p9_scores"](spark, SF).count() == documents
+
+
+def test_shares_name_the_size_and_its_limit(spark):
+    rows = QUERIES["p8_shares"](spark, SF).collect()
+    assert {r["mixture_tokens"] for r in rows} == {sum(r["tokens"] for r in rows)}
+    limits = [r for r in rows if r["limits_size"]]
+    assert len(limits) == 1 and limits[0]["tokens"] == limits[0]["source_tokens"] * limits[0]["max_repeats"]

@@ -96,3 +96,11 @@ def test_mixture(spark):
     assert [r["mix_key"] for r in got] == sorted(r["mix_key"] for r in got)
     assert [tuple(r) for r in mixing.mix(df.repartition(7), targets).collect()] == [tuple(r) for r in got]
     assert mixing.mix(df.limit(0), targets).collect() == []
+
+
+def test_the_source_that_limits_the_mixture():
+    targets = {"a": mixing.Target(0.5, 2), "b": mixing.Target(0.4, 3), "c": mixing.Target(0.1, 1), "d": mixing.Target(0.2, 0), "e": mixing.Target(0.3, 2)}
+    tokens = {"a": 1000, "b": 100, "c": 500, "d": 1}
+    assert mixing.limiting_source(tokens, targets) == "b"
+    assert mixing.mixture_size(tokens, targets) == pytest.approx(3 * 100 * 1.0 / 0.4)
+    assert mixing.limiting_source({}, targets) is None

@@ -58,6 +58,12 @@ def mixture_size(tokens: dict[str, int], targets: dict[str, Target]) -> float:
     return min((t.max_repeats * tokens[s] * whole / t.share for s, t in there.items()), default=0.0)
 
 
+def limiting_source(tokens: dict[str, int], targets: dict[str, Target]) -> str | None:
+    """The source that sets ``mixture_size``: the first to reach its repetitions; of equal ones the first by name."""
+    there = {s: t for s, t in targets.items() if s is not None and tokens.get(s) and t.share and t.share > 0 and t.max_repeats and t.max_repeats > 0}
+    return min(there, key=lambda s: (there[s].max_repeats * tokens[s] / there[s].share, s), default=None)
+
+
 def _uniform(seed: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(seed.cast("long"), F.col("doc_id")), 11) * F.lit(2.0**-53)
 

@@ -122,13 +122,22 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached share of the tokens of each source, and how often its documents are used."""
+    """Target and reached share of the tokens of each source, and how often its documents are used; what all its documents hold
+    (``source_tokens``), the reached size of the mixture and whether this source limits it."""
     targets = spark.read.parquet(f"{sf_dir}/mix_targets.parquet").select("source", "target_share", "max_repeats")
-    got = p8_mixture(spark, sf_dir).groupBy("source").agg(
+    documents, by_source = document_tokens(spark, sf_dir), _targets(spark, sf_dir)
+    held = documents.filter(F.col("source").isin(list(by_source))).groupBy("source").agg(F.sum("tokens").alias("t")).collect()  # one row per target
+    tokens = {r["source"]: r["t"] for r in held}
+    limit = mixing.limiting_source(tokens, by_source)
+    got = mixing.mix(documents, by_source).groupBy("source").agg(
         F.sum("tokens").alias("tokens"), F.count("*").alias("copies"), F.max("copy_no").alias("most_repeats"), F.countDistinct("doc_id").alias("documents")
     )
     rows = targets.join(got, "source", "left").fillna(0, ["tokens", "copies", "most_repeats", "documents"])
-    return rows.withColumn("reached_share", F.try_divide("tokens", F.expr("sum(tokens) over ()")))
+    rows = rows.join(spark.createDataFrame(list(tokens.items()), "source string, source_tokens long"), "source", "left").fillna(0, ["source_tokens"])
+    whole = F.expr("sum(tokens) over ()")
+    return rows.withColumns({
+        "reached_share": F.try_divide("tokens", whole), "mixture_tokens": whole, "limits_size": F.coalesce(F.col("source") == F.lit(limit), F.lit(False)),
+    })
 
 
 QUERIES = {
