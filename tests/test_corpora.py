@@ -179,3 +179,10 @@ def test_distributions(spark):
     with pytest.raises(Exception, match="no samples"):
         statistics.window_fit(rows.limit(0), "v").collect()
     assert statistics.parameter_count() == 5_518_848
+
+
+def test_no_context_is_lost_at_the_default_window(spark):
+    from threadloom.plans import corpora
+
+    total = corpora.QUERIES["token_statistics_512"](spark, "/root/testdata/sf0.01").filter("slice = 'total'").first()
+    assert total["oversized_samples"] == total["truncated_samples"] == 0 and total["effective_tokens"] == total["raw_tokens"]

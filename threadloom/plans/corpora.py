@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,9 +140,9 @@ def chat_window(spark, sf_dir):
     return rows.select("sample_no", "loaded_at", tokens.chat_window_drop(F.col("pairs"), fixed, 96).alias("pairs_dropped"))
 
 
-def training_rows(spark, sf_dir):
+def training_rows(spark, sf_dir, max_length=96):
     """Inputs, masked labels and loss tokens of windows that fit, in both label forms."""
-    rows = _encoded(spark, sf_dir).filter("ids is not null")
+    rows = _encoded(spark, sf_dir, max_length).filter("ids is not null")
     start = tokens.response_start(F.col("ids"), F.col("resp"))
     shifted, labels = tokens.shifted_rows(F.col("ids"), start)
     return rows.select(
@@ -150,9 +152,9 @@ def training_rows(spark, sf_dir):
     )
 
 
-def padded_batches(spark, sf_dir):
+def padded_batches(spark, sf_dir, max_length=96):
     """Batches of eight rows per board, padded to their longest row."""
-    rows = _encoded(spark, sf_dir).filter("ids is not null")
+    rows = _encoded(spark, sf_dir, max_length).filter("ids is not null")
     start = tokens.response_start(F.col("ids"), F.col("resp"))
     shifted, labels = tokens.shifted_rows(F.col("ids"), start)
     rows = rows.select("sample_no", "loaded_at", "board", shifted.alias("input_ids"), labels.alias("labels"))
@@ -164,24 +166,24 @@ def padded_batches(spark, sf_dir):
     )
 
 
-def packed_rows(spark, sf_dir):
-    """Training rows packed whole into bins of 256 tokens."""
-    rows = _encoded(spark, sf_dir).filter("ids is not null").withColumn("key", F.struct("sample_no", "loaded_at"))
+def packed_rows(spark, sf_dir, max_length=96, capacity=256):
+    """Training rows packed whole into bins of ``capacity`` tokens."""
+    rows = _encoded(spark, sf_dir, max_length).filter("ids is not null").withColumn("key", F.struct("sample_no", "loaded_at"))
     start = tokens.response_start(F.col("ids"), F.col("resp"))
     ready = materialize(rows.select("key", F.col("ids").alias("input_ids"), tokens.unshifted_labels(F.col("ids"), start).alias("labels")), "rows")
-    packed = tokens.pack_rows(ready, "key", 256)
+    packed = tokens.pack_rows(ready, "key", capacity)
     return packed.select("bin_no", F.size("input_ids").alias("used"), F.size("labels").alias("labels"), F.array_join("seq_lengths", ",").alias("lengths"))
 
 
-def packing_totals(spark, sf_dir):
-    """What must hold of any packing: rows and tokens in all, and no bin above 256."""
-    packed = packed_rows(spark, sf_dir)
-    return packed.agg(F.sum("used").alias("tokens"), F.sum(F.size(F.split("lengths", ","))).alias("rows"), (F.max("used") <= 256).alias("within"), (F.sum("used") / F.count("*") > 200).alias("well_filled"))
+def packing_totals(spark, sf_dir, max_length=96, capacity=256):
+    """What must hold of any packing: rows and tokens in all, and no bin above the capacity."""
+    packed = packed_rows(spark, sf_dir, max_length, capacity)
+    return packed.agg(F.sum("used").alias("tokens"), F.sum(F.size(F.split("lengths", ","))).alias("rows"), (F.max("used") <= capacity).alias("within"), (F.sum("used") / F.count("*") > capacity * 200 / 256).alias("well_filled"))
 
 
-def token_statistics(spark, sf_dir):
+def token_statistics(spark, sf_dir, max_length=96):
     """Token statistics per split, per board and in all."""
-    return statistics.token_statistics(statistics.measured(_encoded(spark, sf_dir), 96))
+    return statistics.token_statistics(statistics.measured(_encoded(spark, sf_dir, max_length), max_length))
 
 
 def length_distributions(spark, sf_dir):
@@ -190,9 +192,9 @@ def length_distributions(spark, sf_dir):
     return statistics.distribution(rows, ["split"], "tokens", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
-def window_fit(spark, sf_dir):
+def window_fit(spark, sf_dir, windows=(64, 128, 256)):
     """Samples that fit windows of 64, 128 and 256 tokens."""
-    return statistics.window_fit(statistics.measured(_encoded(spark, sf_dir), 96), "tokens", (64, 128, 256))
+    return statistics.window_fit(statistics.measured(_encoded(spark, sf_dir), 96), "tokens", windows)
 
 
 def context_sizes(spark, sf_dir):
@@ -206,6 +208,15 @@ QUERIES = {f.__name__: f for f in (
     multiset_check, token_window, whole_window, chat_window, training_rows, padded_batches, packed_rows, packing_totals, token_statistics,
     length_distributions, window_fit, context_sizes,
 )}
+#: The same at the reference's default window and report windows; those above show truncation at 96 tokens.
+QUERIES |= {
+    "training_rows_512": lambda spark, sf_dir: training_rows(spark, sf_dir, 512),
+    "padded_batches_512": lambda spark, sf_dir: padded_batches(spark, sf_dir, 512),
+    "packed_rows_512": lambda spark, sf_dir: packed_rows(spark, sf_dir, 512, 512),
+    "packing_totals_512": lambda spark, sf_dir: packing_totals(spark, sf_dir, 512, 512),
+    "token_statistics_512": lambda spark, sf_dir: token_statistics(spark, sf_dir, 512),
+    "window_fit_1024": lambda spark, sf_dir: window_fit(spark, sf_dir, (512, 768, 1024)),
+}
 
 _EDGES = r"""kept AS (
   SELECT post_id, thread_id, ord, list_transform(list_filter(refs, lambda r: regexp_full_match(r, '>>[0-9]+')), lambda r: TRY_CAST(substr(r, 3) AS BIGINT)) AS refs
@@ -300,3 +311,5 @@ SELECT split, n AS count, v[1] AS min, v[n] AS max, list_avg(v) AS mean, (v[CAST
     "window_fit": f'WITH {_IDS} SELECT w::INT AS "window", count(*) FILTER (tokens <= w) AS samples, 100.0::DOUBLE * count(*) FILTER (tokens <= w) / count(*) AS percentage FROM measured, (VALUES (64), (128), (256)) x(w) GROUP BY w',
     "context_sizes": f"WITH {_IDS} SELECT len(context)::INT AS context_texts, count(*) AS samples, count(DISTINCT sample_no) AS distinct_samples FROM coded GROUP BY 1",
 }
+ORACLES |= {f"{name}_512": re.sub(r"\b96\b", "512", ORACLES[name]) for name in ("training_rows", "padded_batches", "packing_totals", "token_statistics")}
+ORACLES["window_fit_1024"] = ORACLES["window_fit"].replace("(64), (128), (256)", "(512), (768), (1024)")
