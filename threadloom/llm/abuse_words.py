@@ -1,64 +1,67 @@
 """Word classes of abusive language and of its look-alikes in five languages, written for this library.
 
-An entry ending in ``*`` matches words that begin with it, others match whole words. Words are compared in the folded form
-of ``abuse.fold_word``: lower case, ё as е, Latin letters without accents.
+They say what a word may be used for and carry no weights: what each class counts for is fitted. ``stem~`` matches the stem with an
+inflectional ending, ``stem*`` anything that begins with it, other entries whole words. ``a_b`` is a phrase: each part an entry, and at
+most ``abuse.GAP`` other words between two parts. Words are compared in the folded form of ``abuse.fold_word``: lower case, ё as е, Latin
+letters without accents. Strong entries have hardly any harmless use, weak ones have everyday uses too.
 """
 
-CLASSES = {
-    # insulting names for a person, and telling someone off with them
-    "insult": "дебил* идиот* урод* тварь* твари тварюк* мраз* ублюд* скотин* гнид* сук* чмо* мудак* мудил* кретин* дегенерат* ничтожеств* "
-    "падл* выродок* выродк* придур* тупиц* дурак* дурен* дура долбо* гандон* шлюх* пидор* пидар* козел* козл* отброс* быдл* чурк* "
-    "конченый конченая имбецил* даун* олигофрен* недоумок* недоумк* паскуд* подонок* подонк* нахуй хуй* лошар* чмошник* сволоч* шваль мерзав* ушлепок* ушлепк* "
-    "виродок* виродк* покидьок* покидьк* дурень* дурн* бидл* падлюк* мерзот* наволоч* сволот* "
-    "schwachkopf* idiot* moron* asshole* bastard* scumbag* bitch* retard* clown* imbecil* dumbass* jerk* loser* whore* slut* faggot* cunt* "
-    "prick* dickhead* pathetic fuck* worthless trash garbage swine freak creep abschaum versager miststück* dummkopf* escoria asqueroso* inútil* inutil* arschloch* drecksack* idiot* wichser* hurensohn* missgeburt* schlampe* vollidiot* trottel* "
-    "imbecil* cabron* gilipollas* hijoputa* puta* idiota* estupid* pendejo* maricon* basura",
-    # orders that only go with an insult
-    "order": "закрой заткни* рот пасть вали проваливай отсюда отсюд нахуй закрий рота заткнись shut mouth off halt fresse klappe maul callate boca "
-    "verpiss*",
-    # sexual acts and solicitation
-    "sexual": "трах* еба* ебл* выеб* заеб* минет* порн* порев* сосал* отсос* сиськ* сисек титьк* члена членом киск* вагин* дроч* оргазм* анал анальн* "
-    "интим* проститут* шлюх* сперм* жоп* попк* цицьк* трахат* porn* blowjob* handjob* cock cocks dick tits boobs pussy cum cumming fuck* horny nudes blow "
-    "anal slut* panties wank* hooker nipples ass butt orgy ficken fick* titten muschi schwanz blasen follar* polla tetas mamada follart* coño cono verga chup*",
-    # nudity and acts named by words that have other uses
-    "soft": "гол* раздет* раздень* догола обнаж* секс* эрот* кончил* вставил* сзади лицо лиц тело тел* тёлк* телк* бывш* крупным личк* скинь "
-    "постел* ноч* приват роздяг* голі голой скинути naked nude sex* undress* came face suck* sucked strip bed ex close-ups girl tonight "
-    "nackt* ausziehen nacht desnud* cama noche corrid* груд*",
-    # harm done or wished to somebody
-    "harm": "сдох* здох* убей* убью* убить убит* вбит* убив* умри* умрёшь умреш* подох* захлебн* утоп* топить усыпл* сломаю сломать* ломать переед* "
-    "вырез* зареж* резать застрел* стрел* повес* сжеч* сожг* закоп* прикоп* молотк* ножом топор* битой бензин* морд* удав* задуш* пристрел* прикончу изобью порву кишки кости ноги руки "
-    "kill* die dies dead shoot* shot hang stab* burn* break broken beat hammer knife bullet drown* choke* strangl* slit throat smash* skull bury put down rope ditch legs bones "
-    "tot* sterb* stirb* verreck* umbring* erschie* schlag* hammer matar* mata muer* muér* mata* golpe* martill* "
-    "тёмн* встреч* адрес* приду прийд*",
-    # degrading words for a group of people, and inciting against it
-    "degrade": "вор воры ворь* паразит* крыс* клетк* гнать гнати палк* тупые тупі тупой тупая грязн* брудн* люди нелюд* недочеловек* вырез* выгнать животн* звер* обезьян* вонюч* воня* мусор* чище низш* дикар* истреб* уничтож* избав* зачист* тварин* знищ* смітт* "
-    "выслать депорт* ненави* генетич* порядк* зараз* скот чумн* отребь* vermin rats rat parasit* subhuman* animals cleaner without kids away savages apes inferior stink* infest* scum exterminat* rid dirty stupid born shipped "
-    "deport* cages filth* hate tiere vieh minderwertig* stinken animales inferior* apestan extermin* ungeziefer ratten raus dreckig* dumm ratas echarlos palos sucios basura odio fuera",
-    # invented peoples of the corpus
-    "people": "мергал* зарбит* зарбіт* тулвин* тулвін* оркан* скелв* mergal* zarbit* tulvin* orkand* skelv*",
-    "you": "ты тебя тебе тобой твой твоя твое твои твоей вас вам вы ваш* ти тебе тобою твій твоя you your yours yourself u ur du dich dir dein* tu te "
-    "ti tus eres vosotros таких такие",
-    "me": "я сам сама мне меня i am me my myself ich mir mich mein* yo mi soy я мені",
-    # what makes harsh words harmless
-    "tech": "процесс* процес терминал* диск* плат* драйвер* кулер* сервер* файл* инит* корпус* скрипт* контейнер* демон* ветк* systemd "
-    "process* printer* branch* container* daemon* server* file files disk driver* master prozess* motor* treiber* datei* proceso* disco* servidor* padre",
-    "care": "врач* маммолог* осмотр* клиник* образован* аборт* здоров* медицин* лікар* doctor* clinic* cancer screening breast leaflet health education "
-    "teachers arzt* klinik* medico* clinica* роман* глав* злоде* художник* выставк* натур* книг* фильм* музей chapter novel villain painter exhibition "
-    "museum roman* ausstellung novela capitulo щенк* щенят* собак* течка родил* кот порода puppy dog dogs litter hund* perro* cachorr*",
-    "rule": "бан бана банят правил* оскорбл* оскорб* угроз* образи жалоб* модер* ban bans banned rules insults threats report* sperre regel* beleidig* "
-    "insultos castig* normas",
-    "kind": "пекарн* хлеб* суп* вкусн* отличн* чудесн* спасиб* bakery bread soup wonderful lovely thanks пирог* помог*",
+STRONG = {
+    "insult": "дебил~ мраз~ ублюд~ ублюдок мудак~ мудил~ гандон~ пидор~ пидорас~ пидар~ чмо чмошник~ кретин~ имбецил~ выродок выродк~ дегенерат~ "
+    "долбоеб~ гнид~ ничтожеств~ уебищ~ уебок уебк~ подонок подонк~ недоумок недоумк~ хуесос~ мудозвон~ ушлепок ушлепк~ тупиц~ придурок придурк~ паскуд~ мерзавец мерзавц~ "
+    "виродок виродк~ покидьок покидьк~ тварюк~ мерзот~ наволоч~ падлюк~ "
+    "asshole~ scumbag~ dickhead~ motherfucker~ cunt~ faggot~ retard retards retarded bastard~ moron~ imbecile~ dumbass~ douchebag~ "
+    "arschloch~ arschlocher~ drecksack~ hurensohn~ wichser~ missgeburt~ schwachkopf~ miststuck abschaum "
+    "gilipollas cabron~ hijoputa~ hijo_puta pendejo~ imbecil~ maricon~ basura_humana malparido~",
+    "harm": "сдохни сдохните здохни подохни убейся убейтесь чтоб_ты_сдох~ чтоб_ты_подох~ чтоб_ты_захлебнул* чтоб_ты_подавил* чтоб_тебя_разорвал* щоб_ти_здох~ щоб_ти_сдох~ "
+    "убью_тебя убью_вас тебя_убью зарежу_тебя тебя_зарежу прикончу_тебя тебя_прикончу изобью_тебя придушу задушу_тебя пристрелю_тебя сломаю_тебе тебе_сломаю порву_тебя закопаю_тебя "
+    "вб'ю_тебе уб'ю_тебе "
+    "kill_yourself kys go_die drop_dead die_in_ditch burn_in_hell hope_you_die kill_you find_you_break break_your_leg~ break_your_neck break_your_face break_your_bone~ "
+    "beat_you_up smash_your_face slit_your_throat know_where_you_live знаю_где_ты_живешь знаю_где_вы_живете адрес_твой_знаю твой_адрес_знаю weiss_wo_du_wohnst se_donde_vives таких_усып* таких_топить таких_стрелять таких_вешать как_ты_усып* like_you_put_down like_you_shot verrecke verreck stirb_endlich bring_dich_um stech_dich_ab ojala_te_mueras muerete te_voy_matar",
+    "sexual": "минет~ минетик трахать трахат* трахну* трахал* трахаю* выеба* отъеба* еба* ебли дроч* сиськ~ сисек сисечк~ титьк~ цицьк~ цицьок отсос отсосать отсоси отсосал~ кончил_ей кончил_на_лиц~ кончил_рот "
+    "сосала_у сосал_у вставил_ей_сзад* порно_бывш* выложил*_порн* голые_сис* "
+    "blowjob~ handjob~ cumshot~ fuck_you_all fuck_her fuck_him fucked_her fucked_him sucked_his suck_my sucking_my came_over_her came_on_her porn_my_ex porn_girlfriend nudes horny ficken fickt titten muschi follar* tetas mamada te_follo chupame",
+    "hate": "недочеловек~ нелюдь нелюди унтерменш~ subhuman~ subhumans untermensch* genetisch_dumm генетически_туп* "
+    "генетично_туп* born_stupid грязный_народ брудний_народ должн*_сидеть_клетк* raus_mit_ihnen raus_mit_euch raus_mit_pack shipped_out_shot",
 }
-NAMES = tuple(CLASSES)
 
-#: Prior log-odds that a token is part of an abusive span, by the classes in its neighbourhood; ``a+b`` needs both.
-PRIOR = {
-    "": -3.5, "insult": 3.0, "order": 0.5, "sexual": 4.5, "harm": 0.8, "degrade": 0.2, "soft": 0.3, "people": 0.2, "you": 0.2, "me": -0.2,
-    "tech": -1.5, "care": -2.0, "rule": -2.5, "kind": -1.0,
-    "insult+you": 2.0, "insult+order": 2.5, "insult+harm": 2.0, "insult+me": -1.5, "insult+tech": -1.0, "insult+care": -3.0, "insult+rule": -2.0,
-    "harm+you": 2.8, "harm+tech": -2.5, "harm+care": -2.0, "harm+people": 3.0, "degrade+people": 4.2, "degrade+you": 0.8,
-    "soft+you": 1.0, "soft+sexual": 1.0, "soft+tech": -1.5, "soft+care": -2.0, "sexual+care": -3.5, "sexual+tech": -1.0, "people+kind": -2.0,
-    "order+you": 0.5,
+WEAK = {
+    "insult": "идиот~ урод урода уроду уродом уроде уроды уродов тварь твари тварей тварина скотин~ сук сука суки суку сукой сучк~ козел козл~ дурак дурак~ дура дуры дуру дурой дурень дурн~ лох лохи лохов лошар~ "
+    "отброс~ шлюх~ быдл~ бидло выблядок блядь бляди ничтожный ничтожна конченый конченая конченый даун~ олень клоун~ жирный жирная мать_твоя твоя_мать твою_мать "
+    "clown~ idiot~ jerk~ loser~ pathetic trash worthless garbage swine freak~ creep~ bitch~ whore~ slut~ prick~ fucking stupid dumb filth "
+    "dummkopf* trottel~ versager~ schlampe~ vollidiot~ dreck "
+    "idiota~ estupid~ basura inutil~ escoria asqueros~ puta~ mierda",
+    "harm": "найду_тебя тебя_найду вас_найду приду_с_молотком приду_с_ножом приду_с_битой "
+    "сдох* здох* подох* захлебн* утоп* топить утопить усыпл* усыпить убью убить убили зарежу зарез* резать застрел* пристрел* повес* сжечь сожгу закоп* прикоп* молотк~ молоток ножом топором битой переедет задуш* придуш* прикончу изобью порву "
+    "сломаю сломать вбити вбив~ убив~ морду ребра кишки "
+    "kill kills killed shoot shot hang stab burn~ break beat hammer knife bullet~ drown choke strangle slit throat skull bury legs bones die dies dead "
+    "tot sterben stirbt umbringen erschiessen schlagen matar mata muer~ golpe~",
+    "sexual": "порно порнуха порнушк~ порев* сосал~ кончил кончила вставил вставила голый голая голое голые голых голую голой голи голи голе гола голу догола раздеть раздев* разден* раздет~ роздяг* обнажен* член члена членом жоп~ попк~ груд~ грудь анал анальн* секс секса сексом сексуальн* эрот* интим* вагин~ киск~ оргазм~ сперм~ проститут* голых телк~ "
+    "porn porno naked nude~ tits boobs cock~ dick~ pussy cum cumming came sucked suck sucking ass butt anal sex sexy sexual strip undress panties hooker orgy fuck fucked fucks blow breast~ nipples "
+    "fick nackt~ ausziehen schwanz blasen busen polla verga cono desnud~ sexo culo",
+    "hate": "не_люди не_людина keine_menschen not_people no_son_personas без_них_чище cleaner_without порядка_не_будет they_are_animals место_в_клетк* сидеть_в_клетк* "
+    "паразит~ крыс~ вор воры ворье ворьем клетк~ гнать гнати выгнать вигнати палками вырезать вирезать тупые тупи тупой тупая грязный грязные брудн~ брудни животные животных скот скотом вонюч* истреб* уничтож* зачист* знищ* "
+    "выслать депортир* ненавижу ненавиджу зараз~ саранч~ отребье чурк~ понаехал* "
+    "vermin parasite~ rat rats animals inferior stink~ filthy exterminat* rid deport* deported cages savages apes scum shipped dirty "
+    "ungeziefer ratten vieh minderwertig* parasit~ raus dumm dreckig~ ratas rata parasit~ echarlos palos sucios inferiores fuera animales",
+}
+
+#: Words that turn a weak word into abuse, and words that excuse one.
+COMPANY = {
+    "you": "ты вы ти ви you u ur du ihr tu eres sos vosotros",
+    "your": "тебя тебе тобой твой твоя твое твои твоей твою твоему вас вам ваш ваша ваши тебе тоби твий your yours yourself dich dir dein deine deinen euch te ti tus ustedes",
+    "aimed": "какой_ты какая_ты какие_вы який_ти яка_ти ты_просто ты_полн* ты_конченый ты_конченая твоя_такая_же слышь слышишь ты_же you_are_a you_are_an you_re_a such_a_you what_a_you you_fucking du_bist_ein du_bist_eine was_fur_ein_du eres_un eres_una que_eres",
+    "these": "таких такие подобных like_you alle_wie_du как_ты как_вы як_ти all_of_them их ними ним им them they ihnen ihr pack los ellos",
+    "body": "ей ее нее ней ему него сзади сзаду лицо лице рот рту всю_ночь ночь бывш~ личк~ лс приват крупным крупном скинь скинуть обязательств тебя her his him face all_night tonight mouth bed girl girls ex close ups send full nacht noche cara",
+    "order": "закрой_рот закрой_пасть закрой_хлебал* закрий_рот~ заткни* заткнись стули_пельк~ нахуй вали_отсюд* проваливай пошел_нах* иди_нах* отсюда отсюд shut_mouth shut_up fuck_off get_lost halt_fresse halt_maul halts_maul verpiss* callate_boca callate_la vete_mierda",
+    "me": "я сам сама мне меня мой моя i me my myself am ich mir mich mein yo mi soy me мени",
+    "thing": "процесс~ процес~ терминал~ диск~ плат~ драйвер~ кулер~ сервер~ файл~ скрипт~ контейнер~ демон~ ветк~ принтер~ баг~ поток~ клавиатур~ видеокарт~ процессор~ пылесос~ роутер~ телефон~ корпус~ аккумулятор~ батаре~ игр~ босс~ уров~ бензин~ школ~ университет~ "
+    "process~ printer~ branch~ container~ daemon~ server~ file~ disk~ driver~ thread~ bug~ switch~ phone~ valve~ router~ level~ boss game~ battery prozess~ drucker~ motor~ treiber~ datei~ proceso~ disco~ servidor~ hilo~ impresora~ mesa",
+    "care": "врач~ доктор~ маммолог~ гинеколог~ осмотр~ обследован* клиник~ образован* воспитан* аборт~ здоров* медицин* лицей~ школьн* лекци~ роман~ глав~ главе злодей злодея герой героя книг~ книге фильм~ музей~ музее художник~ выставк~ натур~ скульптур~ детектив~ цитат~ "
+    "щен~ щенк~ щенят~ собак~ течк~ ощен* родил* порода кот~ зоопарк~ хомяк~ попуга* кролик~ подвал~ ликар~ лікар~ "
+    "doctor~ clinic~ cancer screening leaflet~ health education teacher~ chapter~ novel~ villain~ painter~ sculptor~ exhibition~ museum~ book~ curtain film movie puppy puppies dog~ litter kennel zoo farm pantry feeder "
+    "arzt~ klinik~ roman~ ausstellung~ museum hund~ keller kammerjager medico~ clinica~ novela~ museo cuadro perro~ gato~ sotano",
+    "rule": "бан бана бани банят правил~ оскорблен* оскорб* угроз~ образи образ образу жалоб~ модер* модератор~ запрещ* удаля* бане ban bans banned rule~ insult insults insulting threat~ report~ suspended moderator~ forbidden "
+    "sperre~ regel~ beleidig* drohung~ insultos insultar castig* normas prohibido",
+    "praise": "отличн* чудесн* вкусн* спасиб* добр~ добрые празд* открыли пекарн* хлеб~ культур~ чудов* видкрили wonderful lovely kind welcome celebrate~ opened brought bakery bread soup thanks feiern eingeladen abrieron panaderia pan",
 }
-#: Added where two different words of the class stand close together.
-TWICE = {"soft": 3.0, "harm": 1.2, "degrade": 0.5, "insult": 0.5}

@@ -9,8 +9,8 @@ from threadloom.llm import abuse
 from threadloom.llm.records import board_code, turn_texts
 from threadloom.stages import materialize
 
-#: Score from which a record counts as abusive.
-THRESHOLD = 0.45
+#: Score from which a record counts as abusive: between 0.4 and 0.6 the errors in five folds over wordings are fewest.
+THRESHOLD = 0.5
 
 
 def _model(spark: SparkSession, sf_dir: str) -> abuse.Field:
