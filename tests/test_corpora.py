@@ -186,3 +186,15 @@ def test_no_context_is_lost_at_the_default_window(spark):
 
     total = corpora.QUERIES["token_statistics_512"](spark, "/root/testdata/sf0.01").filter("slice = 'total'").first()
     assert total["oversized_samples"] == total["truncated_samples"] == 0 and total["effective_tokens"] == total["raw_tokens"]
+
+
+def test_split_answers(spark):
+    from threadloom.operators.graph import split_answer
+
+    rows = [
+        (">>1 yes\nmore\n>>2 no", [1, 2], [(1, "yes\nmore"), (2, "no")]), (" >>2b \n\n>>1 a\r\n>>2 c", [1, 2, 2], [(2, "b\nc"), (1, "a")]), (">>1\nfoo\n>>2\nbar >>1 baz", [1, 2], [(1, "foo"), (2, "bar >>1 baz")]),
+        (">>1 yes\n>>2", [1, 2], None), ("hi\n>>1 a\n>>2 b", [1, 2], None), (">>1 >>2 both", [1, 2], None), (">>1 a\n>>3 b", [1, 2], None), (">>1 a\n>>2 b", [1], None),
+        (">>1 a\n>>99999999999999999999 b", [1, 2], None), ("", [1, 2], None), (None, [1, 2], None), ("x", None, None), (">>1 " + "long " * 9999 + "\n>>2 b", [2, 1], [(1, ("long " * 9999).strip()), (2, "b")]),
+    ]
+    got = spark.createDataFrame([(k, t, p) for k, (t, p, _) in enumerate(rows)], "k int, t string, p array<bigint>").select("k", split_answer("t", "p").alias("s")).orderBy("k").collect()
+    assert [None if r["s"] is None else [tuple(x) for x in r["s"]] for r in got] == [want for *_, want in rows]

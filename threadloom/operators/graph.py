@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from threadloom.functions.text import bind, clean_text, is_image_reply, is_meaningful, without_quotes
+from threadloom.functions.text import SPACE, bind, clean_text, is_image_reply, is_meaningful, lines_of, stripped, without_quotes
 from threadloom.operators.hierarchy import newest_posts
 from threadloom.stages import Stage, materialize
 
-_PREFIX = re.compile(r"^((?:\s*>>\d+)+)\s*(.*)$")
-
 
 def thread_posts(posts: DataFrame) -> DataFrame:
     """(thread_id, post_id, ord, text, refs, board, source_path): the newest row of each post, ``refs`` as distinct ids in order."""
@@ -56,33 +50,31 @@ def ancestor_closure(edges: DataFrame) -> DataFrame:
     return within.df
 
 
-def _split(text: str | None, parents: list[int] | None) -> list[tuple[int, str]] | None:
-    wanted = {int(p) for p in ([] if parents is None else parents)}
-    if text is None or len(wanted) < 2:
-        return None
-    said: dict[int, list[str]] = {}
-    to = None
-    for line in filter(None, map(str.strip, text.splitlines())):
-        hit = _PREFIX.match(line)
-        if hit:
-            refs = re.findall(r">>(\d+)", hit.group(1))
-            if len(refs) != 1 or int(refs[0]) not in wanted:
-                return None
-            to = int(refs[0])
-            said.setdefault(to, [])
-            line = hit.group(2).strip()
-        if to is None:
-            return None
-        if line:
-            said[to].append(line)
-    return [(p, "\n".join(lines)) for p, lines in said.items()] if set(said) == wanted and all(said.values()) else None
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("parent", T.LongType()), T.StructField("text", T.StringType())])))
-def split_answer(text: pd.Series, parents: pd.Series) -> pd.Series:
-    """The parts of an answer to several posts, one per parent, where each part is headed by one reference; else null."""
-    out = [_split(t, p) for t, p in zip(text, parents)]
-    return pd.Series([None if o is None else [{"parent": a, "text": b} for a, b in o] for o in out], dtype=object)
+def split_answer(text: Column | str, parents: Column | str) -> Column:
+    """The parts (parent, text) of an answer to several posts, in order of first mention; null where it can't be told apart.
+
+    The text is cut before every line that begins with a reference. It can be told apart if each piece is headed by just one
+    reference, to one of two or more ``parents``, and every parent is given some text. Lines lose their outer blanks, empty
+    ones are left out, and pieces to one parent are joined. Null texts or parents give null.
+    """
+    column = F.col(text) if isinstance(text, str) else text
+    wanted = F.array_distinct(F.col(parents) if isinstance(parents, str) else parents)
+    lines = F.filter(F.transform(lines_of(column), stripped), lambda x: x != "")
+    pieces = F.split(F.array_join(lines, "\n"), r"\n(?=>>[0-9])")
+
+    def headed(piece: Column) -> Column:
+        heads = F.regexp_extract_all(F.regexp_extract(piece, rf"^(?:{SPACE}*>>[0-9]+)+", 0), F.lit("[0-9]+"), 0)
+        said = stripped(F.regexp_replace(piece, rf"^(?:{SPACE}*>>[0-9]+)+", ""))
+        return F.struct(F.when(F.size(heads) == 1, F.element_at(heads, 1).try_cast("long")).alias("parent"), said.alias("text"))
+
+    def by_parent(cut: Column) -> Column:
+        named = F.array_distinct(F.transform(cut, lambda x: x["parent"]))
+        said = lambda p: F.filter(F.transform(F.filter(cut, lambda x: x["parent"] == p), lambda x: x["text"]), lambda t: t != "")
+        parts = F.transform(named, lambda p: F.struct(p.alias("parent"), F.array_join(said(p), "\n").alias("text")))
+        sound = F.forall(named, lambda p: p.isNotNull() & F.array_contains(wanted, p)) & (F.size(named) == F.size(wanted)) & (F.size(wanted) > 1)
+        return F.when(sound & F.forall(parts, lambda x: x["text"] != ""), parts)
+
+    return bind(F.transform(pieces, headed), by_parent)
 
 
 def validity(cleaned: Column) -> Column:
