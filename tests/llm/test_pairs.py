@@ -89,3 +89,19 @@ def test_only_the_requested_language_is_exempt():
     assert pairs.is_other_language(mentions, spanish) and not pairs.is_other_language(mentions, "It is the lid, and the water is not warm.")
     assert not pairs.is_other_language("Please translate this for me, it is from the old book of my friend.", spanish)
     assert not pairs.is_other_language("How do I say this in French, and what is the word for it?", spanish)
+
+
+@pytest.mark.parametrize("answer, refusal", [
+    ("Sorry. I see that it matters to you. It is a hard one. I can't help with that.", True),
+    ("I understand that you have waited for a long time and that this question about the kettle and its lid matters to you and to the whole house, "
+     "and I know how hard it is to find somebody who knows old kettles well, yet I am not able to discuss it and I have to decline this request.", True),
+    ("Take the lid off. Then boil the water twice. Clean the seal with a soft cloth. Let it dry. Put it back and wait a day before you use it again, as the glue must set. I can't help with the cable. " * 3, False),
+])
+def test_refusals_are_told_by_their_share_of_the_text(answer, refusal):
+    assert pairs.is_refusal(answer) is refusal
+
+
+def test_long_introductions():
+    told = "You have asked me something like the following for the third time this week already: "
+    assert pairs.is_copy(Q, told + Q) and not pairs.is_copy(Q, told + "it is the lid that leaks, so the water never gets warm in it")
+    assert pairs.is_copy(Q, f"He said: you ask: «{Q}»")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,20 +34,22 @@ for _k, _words in enumerate(WORDS.values()):
     for _w in set(_words.split()):
         _OF_WORD.setdefault(_w, []).append(_k)
 _TOKEN = re.compile(r"[^\W\d_]+")
-_LETTERS = (("ru", re.compile("[ыэъё]")), ("uk", re.compile("[іїєґ]")), ("de", re.compile("[äöüß]")), ("es", re.compile("[ñ¿¡áíóú]")))
-_CYRILLIC, _LATIN = re.compile("[\u0400-\u052f]"), re.compile("[a-z\u00df-\u024f]")
+_LETTERS = tuple((LANGUAGES.index(name), np.array([ord(c) for c in letters])) for name, letters in (("ru", "ыэъё"), ("uk", "іїєґ"), ("de", "äöüß"), ("es", "ñ¿¡áíóú")))
 
 
-def language_scores(text: str) -> list[float]:
-    """Evidence for each of ``LANGUAGES`` in the whole text: function words, telling letters and the script."""
-    low = text.casefold()
+def language_scores(text: str, low: str | None = None, words: list[str] | None = None) -> list[float]:
+    """Evidence for each of ``LANGUAGES`` in the whole text: function words, telling letters and the script. ``low``, its folded
+    form, and ``words``, its runs of letters, are taken as given where they are known."""
+    low = text.casefold() if low is None else low
     scores = [0.0] * len(LANGUAGES)
-    for word in _TOKEN.findall(low):
+    for word in _TOKEN.findall(low) if words is None else words:
         for k in _OF_WORD.get(word, ()):
             scores[k] += 1.0
-    for name, letters in _LETTERS:
-        scores[LANGUAGES.index(name)] += min(0.5 * len(letters.findall(low)), 3.0 + scores[LANGUAGES.index(name)])
-    cyrillic, latin = len(_CYRILLIC.findall(low)), len(_LATIN.findall(low))
+    codes = np.frombuffer(low.encode("utf-16-le", "surrogatepass"), np.uint16)
+    times = np.bincount(codes[codes < 0x530], minlength=0x530)
+    for k, letters in _LETTERS:
+        scores[k] += min(0.5 * int(times[letters].sum()), 3.0 + scores[k])
+    cyrillic, latin = int(times[0x400:].sum()), int(times[97:123].sum() + times[0xDF:0x250].sum())
     if cyrillic > latin:
         scores[0] += 0.02 * cyrillic
         scores[1] += 0.02 * cyrillic

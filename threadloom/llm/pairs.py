@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -17,12 +19,14 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.languages import LANGUAGES, language_scores
 from threadloom.llm.overlap import edit_distance
-from threadloom.llm.text import TAG, WORD, plain_words, visible
+from threadloom.llm.text import TAG, WORD, visible
 from threadloom.stages import materialize
 
 #: Answers that compress to at most this share with the question as dictionary are looked at as copies. Questions of up to
 #: SHORT bytes are compared word by word at once: the fixed size of a frame would hide their copies.
 COPY_RATIO, SHORT = 0.6, 200
+#: Share of an answer's words from which on its declining sentences make it a refusal.
+DECLINING = 0.2
 #: A word met at least OFTEN times that ends at most this share of its sentences, lines and texts demands more.
 OFTEN, END_SHARE = 25, 0.012
 #: A last word is cut if it is met inside texts at most this share of the times that it ends one, and a longer word that begins
@@ -53,14 +57,16 @@ _REFUSAL = re.compile(
     r"(?:helfen|beantworten|antworten|besprechen|erfüllen|sprechen|geben)|\bich (?:kann|darf|werde)\b[^.!?\n]{0,30}\b(?:nicht|keine)\b[^.!?\n]{0,20}(?:helfen|beantwort|antworten|besprech|erfüll|sprechen)|"
     r"\b(?:ich muss|muss ich)\b[^.!?\n]{0,30}(?:ablehnen|verweigern)|\bgebe ich (?:keine|solche)|nicht erlaubt, (?:darüber|das)|"
     r"\bno puedo (?:ayudar\w*|responder|contestar|hablar|cumplir|atender|dar|discutir|proporcionar)|\bno (?:me está permitido|estoy autorizad|voy a responder|doy (?:ese tipo|tales) )|"
-    r"\b(?:debo|tengo que) (?:negarme|rechazar|rehusar|declinar))",
-    re.I,
+    r"\b(?:debo|tengo que) (?:negarme|rechazar|rehusar|declinar))"
+)
+#: What every declining sentence holds; looked for first, in lower case.
+_MAY_DECLINE = re.compile(
+    r"не|ні|отказ|отклон|нельзя|запрещ|рамки|відмов|заборон|меж|unable|not|n't|refus|declin|allowed|forbid|against|nicht|kein|ablehn|verweiger|no |negar|rechaz|rehus|nunca"
 )
 _MODEL = re.compile(
     r"как (?:языковая модель|искусственный интеллект|ии\b)|як (?:мовна модель|штучний інтелект)|as an? (?:ai|language model|assistant)|als (?:ki|sprachmodell)|como (?:modelo de lenguaje|ia\b|inteligencia)",
-    re.I,
 )
-_DECLINES = re.compile(r"\b(?:не|no|not|nicht|kein\w*|cannot|can't|unable|нельзя|ні)\b", re.I)
+_DECLINES = re.compile(r"\b(?:не|no|not|nicht|kein\w*|cannot|can't|unable|нельзя|ні)\b")
 _ASKS = re.compile(
     r"перевед|перевод(?:и|ом)? (?:на|с)\b|переклад|translat|übersetz|traduc|traduz|"
     r"(?:на|по)[ -]?(?:английск|немецк|испанск|украинск|русск|французск|англійськ|німецьк|іспанськ|українськ|російськ)|англійською|німецькою|іспанською|українською|російською|"
@@ -91,26 +97,71 @@ _OPEN_WORDS = set(
 ) - {"a", "so", "такой"} | {"the", "a"}
 
 
-def is_empty(answer: str | None) -> bool:
+class Said:
+    """A message with the forms of it that the labels look at, each made once: as shown, folded, and its words."""
+
+    def __init__(self, text: str | None):
+        self.text = text or ""
+
+    @cached_property
+    def shown(self) -> str:
+        return visible(self.text)
+
+    @cached_property
+    def low(self) -> str:
+        return self.shown.casefold()
+
+    @cached_property
+    def words(self) -> list[str]:
+        return WORD.findall(self.low)
+
+    @cached_property
+    def language(self) -> tuple[str | None, float]:
+        scores = language_scores(self.shown, self.low, self.words)
+        ranked = sorted(scores)
+        if ranked[-1] < 1.0 or ranked[-1] < 1.5 * max(ranked[-2], 0.0):
+            return None, ranked[-1]
+        return LANGUAGES[scores.index(ranked[-1])], ranked[-1]
+
+
+def _said(message: str | Said | None) -> Said:
+    return message if isinstance(message, Said) else Said(message)
+
+
+def is_empty(answer: str | Said | None) -> bool:
     """Nothing but blanks, invisible characters, punctuation, markup, post references or a placeholder for absent text."""
     if answer is None:
         return True
-    text = TAG.sub(" ", _REF.sub(" ", visible(answer)))
-    core = " ".join(re.sub(r"[\"'`«»“”]", "", text).split()).casefold().strip("()[]{}<>*_.-—–…!? ")
-    return core in PLACEHOLDERS or not _LETTER.search(text)
-
-
-def is_refusal(answer: str) -> bool:
-    """The answer declines and gives nothing else: no more than a sentence or two around the declining one."""
-    text = visible(answer)
-    sentences = [s for s in re.split(r"(?<=[.!?…])\s+|\n+", text) if WORD.search(s)]
-    for k, s in enumerate(sentences):
-        if _REFUSAL.search(s) or (_MODEL.search(s) and _DECLINES.search(s)):
-            if re.search(r"отвечу по делу|но отвечу|but here|but i'll answer|aber hier", s, re.I):
-                continue
-            said = sum(len(WORD.findall(x)) for j, x in enumerate(sentences) if j != k)
-            return k <= 1 and said <= 45
-    return False
+    text = _said(answer).shown
+    if ">>" in text or "[" in text or "&" in text:
+        text = _REF.sub(" ", text)
+    if "<" in text:
+        text = TAG.sub(" ", text)
+    if not _LETTER.search(text):
+        return True
+    if len(text) > 200 and len(WORD.findall(text)) > _MOST_WORDS:
+        return False
+    return " ".join(text.translate(_NO_QUOTES).split()).casefold().strip("()[]{}<>*_.-—–…!? ") in PLACEHOLDERS
+
+
+#: Words of the longest placeholder.
+_MOST_WORDS = max(len(WORD.findall(x)) for x in PLACEHOLDERS)
+_NO_QUOTES = str.maketrans("", "", "\"'`«»“”")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+_STILL_ANSWERS = re.compile(r"отвечу по делу|но отвечу|but here|but i'll answer|aber hier")
+
+
+def is_refusal(answer: str | Said) -> bool:
+    """The answer declines and gives nothing else: the declining sentences are at least DECLINING of its words, wherever they stand."""
+    said = _said(answer)
+    text = said.shown.lower()
+    if not _MAY_DECLINE.search(text):
+        return False
+    declining = 0
+    for s in _SENTENCE.split(text):
+        if _MAY_DECLINE.search(s) and (_REFUSAL.search(s) or (_MODEL.search(s) and _DECLINES.search(s))) and not _STILL_ANSWERS.search(s):
+            declining += len(WORD.findall(s))
+    return declining > 0 and declining >= DECLINING * len(said.words)
 
 
 def copy_share(question: str, answer: str) -> float:
@@ -127,56 +178,56 @@ def copy_share(question: str, answer: str) -> float:
 _INTRO_END = re.compile(r"[:—–\n«\"„“>]")
 
 
-def is_copy(question: str, answer: str) -> bool:
+def is_copy(question: str | Said, answer: str | Said) -> bool:
     """The answer is the question again: once or repeated, up to a word in ten (one at least, none in questions of one or two
-    words), after no more than a short introduction, and nothing after it."""
-    q, shown = plain_words(question), visible(answer)
-    a = plain_words(answer)
+    words), after no more than an introduction that is shorter than it, and nothing after it."""
+    question, answer = _said(question), _said(answer)
+    q, a = question.words, answer.words
     if not q or len(a) < max(min(3, len(q)), len(q) // 2):
         return False
+    known = set(q)
+    new = [0, *accumulate(w not in known for w in a)]  # words before each place that the question doesn't have
+    if new[-1] > len(a) // 2 + max(2, len(a) // 10):  # not even after the longest introduction
+        return False
     asked = " ".join(q)
     if len(asked.encode("utf-8", "replace")) > SHORT and copy_share(asked, " ".join(a)) > COPY_RATIO:
         return False
-    targets = [q]
-    parts = [plain_words(s) for s in re.split(r"(?<=[.!?])\s+|\n+", question)]
-    targets += [w for w in (parts[-1:] if len(parts) > 1 else []) if len(w) >= 5]
-    lead = 0
-    hit = _INTRO_END.search(shown)
-    if hit:
-        lead = len(plain_words(shown[: hit.start()]))
+    parts = [WORD.findall(s) for s in re.split(r"(?<=[.!?])\s+|\n+", question.low)]
+    targets = [q, *(w for w in (parts[-1:] if len(parts) > 1 else []) if len(w) >= 5)]
+    # An introduction ends at a sign; the words before each such sign in the first half are where the copy may begin.
+    leads, at, before = [0], 0, 0
+    for hit in _INTRO_END.finditer(answer.low):
+        before += len(WORD.findall(answer.low, at, hit.start()))
+        at = hit.start()
+        if before > len(a) // 2:
+            break
+        if before > leads[-1]:
+            leads.append(before)
     for target in targets:
-        known = set(target)
-        for skip in {0, *range(1, 9)} if 0 < lead <= 8 else {0}:
-            rest = a[skip:]
-            times = max(1, round(len(rest) / len(target)))
+        lost = new if target is q else [0, *accumulate(w not in set(target) for w in a)]
+        for lead in leads:
+            rest = len(a) - lead
+            times = max(1, round(rest / len(target)))
             reworded = 2 if len(target) >= 8 else 1  # one word, which may be written with a hyphen
             most = max(reworded, len(target) * times // 10) if len(target) > 2 else 0
-            if len(rest) and sum(w not in known for w in rest) <= most and edit_distance(rest, target * times) <= most:
+            if rest and lost[-1] - lost[lead] <= most and edit_distance(a[lead:], target * times) <= most:
                 return True
     return False
 
 
-def _sure_language(text: str) -> tuple[str | None, float]:
-    scores = language_scores(text)
-    top = max(range(len(scores)), key=scores.__getitem__)
-    second = max((s for k, s in enumerate(scores) if k != top), default=0.0)
-    if scores[top] < 1.0 or scores[top] < 1.5 * second:
-        return None, scores[top]
-    return LANGUAGES[top], scores[top]
-
-
-def is_other_language(question: str, answer: str) -> bool:
+def is_other_language(question: str | Said, answer: str | Said) -> bool:
     """The answer is mainly in another language than the question, which doesn't ask for that: it names no such language, and
     doesn't ask for a translation without naming any."""
-    asked, _ = _sure_language(question)
-    said, weight = _sure_language(answer)
+    question, answer = _said(question), _said(answer)
+    asked, _ = question.language
+    said, weight = answer.language
     if asked is None or said is None or asked == said:
         return False
-    if _ASKS.search(question):
-        named = {code for code, word in _NAMED.items() if word.search(question)}
+    if _ASKS.search(question.text):
+        named = {code for code, word in _NAMED.items() if word.search(question.text)}
         if not named or "other" in named or said in named:
             return False
-    return weight >= 1.5 and len(plain_words(answer)) >= 3
+    return weight >= 1.5 and len(answer.words) >= 3
 
 
 def terminal_counts(texts: DataFrame) -> DataFrame:
@@ -206,29 +257,38 @@ def terminal_counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("low").alias("low"), F.sum("dots").alias("dots"))
 
 
-def open_at_end(answer: str) -> bool:
+_MARKS = (*_OPENERS, '"', "`")
+_NO_BRACKETS = re.compile(r"[:;=8]['-]?[()\[\]DP]+|\){2,}|^\s*\d+\)", re.M)
+
+
+def open_at_end(answer: str | Said) -> bool:
     """An open bracket, quotation, code block or list item, or a sign that demands more."""
-    text = visible(answer).rstrip()
+    text = _said(answer).shown.rstrip()
     if text.count("```") % 2:
         return True
-    prose = re.sub(r"```.*?```", " ", text, flags=re.S)
+    prose = re.sub(r"```.*?```", " ", text, flags=re.S) if "```" in text else text
     if not prose.rstrip():
         return False
     if text.endswith("```"):
         return False
     if _BARE_ITEM.search(prose) or _DEMANDS_SIGN.search(prose.rstrip()):
         return True
-    prose = re.sub(r"[:;=8]['-]?[()\[\]DP]+|\){2,}|^\s*\d+\)", " ", prose, flags=re.M)
+    if not any(map(prose.__contains__, _MARKS)):
+        return False
+    prose = _NO_BRACKETS.sub(" ", prose)
     for a, b in _OPENERS.items():
         if prose.rfind(a) > prose.rfind(b) and (a != "„" or prose.rfind(a) > max(prose.rfind("“"), prose.rfind("”"), prose.rfind('"'))):
             return True
     return prose.count('"') % 2 == 1 or prose.count("`") % 2 == 1 or prose.count("“") > prose.count("”") + prose.count("„")
 
 
-def last_word(answer: str) -> str | None:
+def last_word(answer: str | Said) -> str | None:
     """The word that the answer ends with, if nothing but blanks follows it."""
-    text = visible(answer).rstrip()
-    hit = _LAST.search(text)
+    text = _said(answer).shown.rstrip()
+    if not text or not (text[-1].isalpha()):
+        return None
+    at = max(text.rfind(c) for c in " \n\t") + 1  # the word lies in the last run without blanks
+    hit = _LAST.search(text, at)
     return hit.group(1) if hit else None
 
 
@@ -244,7 +304,7 @@ def _split_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 role = m["role"] if m else None
                 if role == "assistant" and before is not None:
                     number += 1
-                    question, answer = before["content"] or "", m["content"]
+                    question, answer = Said(before["content"]), Said(m["content"])
                     defect, last = None, None
                     if is_empty(answer):
                         defect = "empty"
@@ -292,7 +352,7 @@ def labelled_pairs(samples: DataFrame, texts: DataFrame) -> DataFrame:
     plain = F.col("low") & (F.col("longer") >= CUT_TIMES) & (F.col("longer") >= CUT_RATIO * F.col("ends"))
     capital = ~F.col("low") & (F.col("longer_all") >= CUT_CAPITAL) & (F.col("longer_all") >= CUT_CAPITAL * F.col("ends"))
     cut = rare & (plain | capital)
-    joined = pairs.join(known, pairs["last"] == known["word"], "left")
-    return joined.select(
-        "sample_no", "pair_no", F.when(F.col("defect").isNotNull(), F.col("defect")).when(demands | cut, F.lit("truncated")).alias("defect")
-    )
+    # Rows without a last word are most of them and have nothing to look up.
+    joined = pairs.filter("last is not null").join(known, pairs["last"] == known["word"], "left")
+    judged = joined.select("sample_no", "pair_no", F.when(demands | cut, F.lit("truncated")).alias("defect"))
+    return pairs.filter("last is null").select("sample_no", "pair_no", "defect").unionByName(judged)
