@@ -25,7 +25,7 @@ from threadloom.stages import Stage
 SHINGLE, LEAST_WORDS, WORDS_PER_EDIT = 5, 40, 10
 
 _TEXTS = "record long, eval boolean, source string, split_name string, cls string, n int, words string"
-_GRAMS = "rep long, n int, ev boolean, tr boolean, grams array<long>"
+_GRAMS = "rep long, ev boolean, tr boolean, grams array<long>"
 
 
 def _to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +57,8 @@ def shingle_hashes(words: list[str], size: int = SHINGLE) -> list[int]:
 
 def _to_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        grams = [shingle_hashes(w.split(" ")) for w in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grams, pa.list_(pa.int64()))], names=["rep", "n", "ev", "tr", "grams"])
+        grams = [shingle_hashes(w.split(" ")) for w in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.list_(pa.int64()))], names=["rep", "ev", "tr", "grams"])
 
 
 def edit_distance(a: list[str], b: list[str]) -> int:
@@ -110,39 +110,48 @@ def read_texts(records: DataFrame) -> DataFrame:
 
 
 def matching_classes(texts: DataFrame) -> DataFrame:
-    """(a, b) of classes of ``read_texts`` that match, a with training and b with evaluation records; a = b for copies."""
+    """(a, b) of classes of ``read_texts`` that match, a with training and b with evaluation records; a = b for copies.
+
+    Shingles that occur on one side only come first in the order that prefixes are cut by: they can't meet, so they need no row,
+    only their number. All others are ordered by how many training classes hold them. Training shingles are shuffled once, to
+    meet the evaluation side's; what is left of them stays there to be counted and goes to its class for the rank.
+    """
     # A class goes by its smallest record in what follows: exploded shingles then take 20 bytes a row.
     sides = (F.max("eval").alias("ev"), F.max(~F.col("eval")).alias("tr"))
-    classes = Stage(
-        texts.groupBy("cls").agg(F.min("record").alias("rep"), F.min("n").alias("n"), F.min("words").alias("words"), *sides), "classes"
-    ).df
-    grams = Stage(classes.select("rep", "n", "ev", "tr", "words").mapInArrow(_to_grams, _GRAMS), "grams").df
-    each = grams.select("rep", "n", "ev", "tr", F.explode("grams").alias("gram"))
-    # Shingles of one class only are the rarest and need no count.
-    counts = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    classes = Stage(texts.groupBy("cls").agg(F.min("record").alias("rep"), F.min("n").alias("n"), *sides), "classes").df
+    chosen = classes.select(F.col("rep").alias("record"), "ev", "tr").join(texts.select("record", "words"), "record").dropDuplicates(["record"])
+    grams = Stage(chosen.select(F.col("record").alias("rep"), "ev", "tr", "words").mapInArrow(_to_grams, _GRAMS), "grams").df
+    held, train = (grams.filter(side).select(F.explode("grams").alias("gram"), "rep") for side in ("ev", "tr"))
+    shared = Stage(train.join(held.select("gram").distinct(), "gram", "left_semi"), "shared").df
+    times = shared.groupBy("gram").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "gram"))
     edits = F.floor(F.col("n") / (WORDS_PER_EDIT - 1))
-    prefix = (
-        each.join(counts, "gram", "left")
-        .select("rep", "n", "ev", "tr", "gram", F.coalesce("df", F.lit(1)).alias("df"))
-        .withColumn("at", rank)
-        .filter((F.col("at") <= SHINGLE * edits + 1) & (F.col("df") > 1))
-    )
-    held = Stage(prefix.select("rep", "n", "ev", "tr", "gram", "at"), "prefix").df.withColumn("m", F.col("n") - (SHINGLE - 1))
-    index = held.filter("ev").select("gram", *(F.col(c).alias(c + "_b") for c in ("rep", "n", "at", "m")))
-    probe = held.filter("tr").select("gram", *(F.col(c).alias(c + "_a") for c in ("rep", "n", "at", "m")))
+    m = F.col("n") - (SHINGLE - 1)
+
+    def prefix(rows: DataFrame) -> DataFrame:
+        ranked = rows.join(times, "gram").withColumn("k", rank).withColumn("kept", F.count("*").over(Window.partitionBy("rep")))
+        known = ranked.join(classes.select("rep", "n"), "rep").withColumn("at", m - F.col("kept") + F.col("k"))
+        return known.filter(F.col("at") <= SHINGLE * edits + 1).select("gram", "rep", "n", "at", m.alias("m"))
+
+    # Texts of matching lengths are in the same or in neighbouring classes of length, so a shingle of very many texts is many keys.
+    length = F.floor(F.log(1.12, F.col("n"))).cast("int")
+    near_length = F.explode(F.array(length - 1, length, length + 1)).alias("len")
+    index, probe = Stage(prefix(held), "index").df, Stage(prefix(shared), "probe").df
+    index = index.select("gram", near_length, *(F.col(c).alias(c + "_b") for c in ("rep", "n", "at", "m")))
+    probe = probe.select("gram", length.alias("len"), *(F.col(c).alias(c + "_a") for c in ("rep", "n", "at", "m")))
     longer = F.greatest("n_a", "n_b")
     allowed = F.floor(longer / WORDS_PER_EDIT)
     needed = longer - (SHINGLE - 1) - SHINGLE * allowed
     at_most = 1 + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
     candidates = (
-        probe.join(index, "gram")
+        probe.join(index, ["gram", "len"])
         .filter((F.abs(F.col("n_a") - F.col("n_b")) <= allowed) & (at_most >= needed) & (F.col("rep_a") != F.col("rep_b")))
         .select(F.col("rep_a").alias("ra"), F.col("rep_b").alias("rb"))
         .distinct()
     )
-    text = lambda side, words: classes.select(F.col("rep").alias("r" + side), F.col("cls").alias(side), F.col("words").alias(words))
-    near = candidates.join(text("a", "x"), "ra").join(text("b", "y"), "rb").filter(_close("x", "y")).select("a", "b")
+    candidates = Stage(candidates, "candidates").df
+    text = lambda side, words: texts.select(F.col("record").alias("r" + side), F.col("cls").alias(side), F.col("words").alias(words))
+    near = candidates.join(text("a", "x"), "ra").join(text("b", "y"), "rb").filter(_close("x", "y")).select("a", "b").distinct()
     same = classes.filter("ev and tr").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     return near.unionByName(same)
 
