@@ -162,9 +162,17 @@ def test_padding_and_plans(spark):
 
 
 def test_bpe(spark, tmp_path):
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    from threadloom.operators.chat import SPECIAL_TOKENS
+
     texts = spark.createDataFrame([("привет мир hello 😎 " * 4,), (None,), ("hello world",)], "text string")
     path = str(tmp_path / "bpe.json")
-    tokens.train_bpe(texts, "text", path, vocabulary=300)
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    tokenizer = Tokenizer(models.BPE({**SPECIAL_TOKENS, **{c: k + 6 for k, c in enumerate(alphabet)}}, [], unk_token="<UNK>"))
+    tokenizer.pre_tokenizer, tokenizer.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
+    tokenizer.add_special_tokens(list(SPECIAL_TOKENS))
+    tokenizer.save(path)
     saved = tokens.load_tokenizer(path)
     ids = texts.select("text", tokens.bpe_ids(saved)(F.col("text")).alias("ids"))
     assert [r for r in ids.select(tokens.bpe_text(saved)(F.col("ids")).alias("t"), "text").collect() if r["t"] != r["text"]] == []

@@ -138,6 +138,14 @@ def references(text: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r">>\d+"), 0))
 
 
+def exact_references(refs: Column | str) -> Column:
+    """The numbers of the entries that are exactly ``>>`` and digits, once each, in order; null and other entries don't count, a
+    null array is empty."""
+    exact = F.filter(refs, lambda r: r.rlike(r"^>>[0-9]+\z"))
+    ids = F.filter(F.transform(exact, lambda r: F.substring(r, 3, 40).try_cast("long")), lambda x: x.isNotNull())
+    return F.coalesce(F.array_distinct(ids), F.array().cast("array<bigint>"))
+
+
 def _line_form(line: Column, quoted: bool) -> Column:
     bare = F.regexp_replace(line, "^[> ]+", "") if quoted else line
     flat = F.regexp_replace(bare, rf"{SPACE}+", " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,9 +94,14 @@ def run_name(model: Column, dataset: Column, version: Column, number: Column) ->
     return F.concat_ws("--", slug, F.concat_ws("-", dataset, version), F.concat(F.lit("run-"), F.lpad(number.cast("string"), 3, "0")))
 
 
+def missing_keys(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``found`` whose keys ``known`` doesn't hold; rows with a null key are never known."""
+    return found.join(known.select(*keys), keys, "left_anti")
+
+
 def unknown_versions(found: DataFrame, known: DataFrame) -> DataFrame:
     """Version folders that no manifest names yet."""
-    return found.join(known.select("dataset_id", "version"), ["dataset_id", "version"], "left_anti")
+    return missing_keys(found, known, ["dataset_id", "version"])
 
 
 def with_saved_metrics(files: DataFrame, saved: DataFrame) -> DataFrame:
@@ -104,16 +110,34 @@ def with_saved_metrics(files: DataFrame, saved: DataFrame) -> DataFrame:
     return files.join(saved.select(*keys, "global_step", "validation_loss"), keys, "left")
 
 
-def selected_files(files: DataFrame, model: str = "model", name: str = "filename") -> DataFrame:
-    """Files worth fetching of each model: whitelisted kinds outside excluded folders, ``.bin`` weights only where the model has
-    no safetensors anywhere, no training state. Models without a config or weights have no rows."""
-    path, low = F.col(name), F.lower(name)
-    allowed = low.rlike(r"\.(safetensors|bin|json|txt|model|jinja|tiktoken)$")
-    outside = ~low.rlike(r"(^|/)(onnx|openvino|coreml|flax|tf|original|\.git|runs|checkpoint-\d+)/")
-    state = low.rlike(r"(^|/)(training_args|optimizer|scheduler|trainer_state|rng_state)[^/]*$")
-    safe = F.max(low.endswith(".safetensors")).over(Window.partitionBy(model))
-    chosen = files.withColumn("_safe", safe).filter(allowed & outside & ~state & (~low.endswith(".bin") | ~F.col("_safe")))
+#: Folders of other runtimes, kinds of files worth fetching, and beginnings of names that hold training state.
+OTHER_RUNTIMES = ("onnx", "openvino", "original", "gguf", "ggml", "flax", "tf")
+FILE_KINDS = (".json", ".model", ".txt", ".tiktoken", ".bpe", ".jinja", ".safetensors")
+TRAINING_STATE = ("training_args", "optimizer", "scheduler")
+
+
+def _judged_files(files: DataFrame, model: str, name: str) -> DataFrame:
+    folders = F.transform(F.slice(F.split(name, "/"), 1, F.greatest(F.size(F.split(name, "/")) - 1, F.lit(0))), F.lower)
+    outside = ~F.arrays_overlap(folders, F.array(*map(F.lit, OTHER_RUNTIMES)))
+    ends = lambda *kinds: F.rlike(name, F.lit(f"({'|'.join(map(re.escape, kinds))})$"))
     by = Window.partitionBy(model)
-    weights = F.max(low.rlike(r"\.(safetensors|bin)$")).over(by)
-    config = F.max(path == "config.json").over(by)
-    return chosen.withColumn("_ok", weights & config).filter("_ok").drop("_safe", "_ok")
+    rows = files.filter(F.col(name).isNotNull()).withColumn("_in", outside).withColumn("_safe", F.max(F.col("_in") & ends(".safetensors")).over(by))
+    state = F.element_at(F.split(name, "/"), -1).rlike(f"^({'|'.join(TRAINING_STATE)})")
+    rows = rows.withColumn("_take", F.col("_in") & (ends(*FILE_KINDS) | ends(".bin") & ~F.col("_safe")) & ~state)
+    return rows.withColumns({
+        "_config": F.max(F.col("_take") & (F.col(name) == "config.json")).over(by),
+        "_weights": F.max(F.col("_take") & ends(".safetensors", ".bin")).over(by),
+    })
+
+
+def selected_files(files: DataFrame, model: str = "model", name: str = "filename") -> DataFrame:
+    """Files worth fetching of each model: of FILE_KINDS outside the folders of other runtimes, no training state, and ``.bin`` files
+    only where no safetensors lie outside those folders. Names are compared by case, folders aren't. Models without a
+    ``config.json`` or weights have no rows here and one in ``unusable_models``."""
+    return _judged_files(files, model, name).filter("_take and _config and _weights").select(*files.columns)
+
+
+def unusable_models(files: DataFrame, model: str = "model", name: str = "filename") -> DataFrame:
+    """(model, reason) of the models none of whose files are selected: ``no_config``, else ``no_weights``."""
+    per = _judged_files(files, model, name).groupBy(model).agg(F.max("_config").alias("c"), F.max("_weights").alias("w"))
+    return per.filter("not (c and w)").select(model, F.when(~F.col("c"), "no_config").otherwise("no_weights").alias("reason"))

@@ -8,6 +8,8 @@ like it are dropped, in rounds until all are judged.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +30,18 @@ def distinct_texts(rows: DataFrame, text: str, order: str, exact: bool = True, m
 def similar_pairs(texts: DataFrame, similarity: float = SIMILARITY, hashing: str = "xxhash", anchors: int = ANCHORS) -> DataFrame:
     """(later, earlier, similarity) of distinct texts that share an anchor and are alike; lengths are compared first.
 
-    ``anchors`` 0 blocks on every shingle instead, which finds all pairs. An anchor of very many texts makes pairs among
-    them all; texts that equal each other were joined before, and the length filter applies within the join.
+    ``anchors`` 0 blocks on every shingle instead, which finds all pairs. Texts that equal each other were joined before; classes of
+    length are part of the key, so that an anchor of very many texts only pairs those that their lengths allow.
     """
     grams = materialize(texts.select("key", "place", F.length("canonical").alias("n"), shingles(F.col("canonical"), SHINGLE, hashing).alias("s")), "shingles")
     block = F.slice(F.array_sort("s"), 1, anchors) if anchors else F.col("s")
     each = grams.select("key", "place", "n", F.explode(block).alias("anchor"))
-    a = each.select("anchor", F.col("key").alias("later"), F.col("place").alias("pa"), F.col("n").alias("na"))
-    b = each.select("anchor", F.col("key").alias("earlier"), F.col("place").alias("pb"), F.col("n").alias("nb"))
+    # lengths that differ by less than the similarity allows are in the same or in neighbouring classes
+    length = F.floor(F.log("n") / -math.log(min(similarity, 0.99)) + 1e-9).cast("int")
+    a = each.select("anchor", length.alias("len"), F.col("key").alias("later"), F.col("place").alias("pa"), F.col("n").alias("na"))
+    b = each.select("anchor", F.explode(F.array(length - 1, length, length + 1)).alias("len"), F.col("key").alias("earlier"), F.col("place").alias("pb"), F.col("n").alias("nb"))
     near = (F.col("pb") < F.col("pa")) & (F.least("na", "nb") / F.greatest("na", "nb") >= similarity)
-    pairs = a.join(b, "anchor").filter(near).select("later", "earlier").distinct()
+    pairs = a.join(b, ["anchor", "len"]).filter(near).select("later", "earlier").distinct()
     sides = grams.select("key", "s")
     judged = pairs.join(sides.withColumnsRenamed({"key": "later", "s": "sa"}), "later").join(sides.withColumnsRenamed({"key": "earlier", "s": "sb"}), "earlier")
     return judged.select("later", "earlier", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= similarity)

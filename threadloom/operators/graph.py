@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import SPACE, bind, clean_text, is_image_reply, is_meaningful, lines_of, stripped, without_quotes
+from threadloom.functions.text import SPACE, bind, clean_text, exact_references, is_image_reply, is_meaningful, lines_of, stripped, without_quotes
 from threadloom.operators.hierarchy import newest_posts
 from threadloom.stages import Stage, materialize
 
 
 def thread_posts(posts: DataFrame) -> DataFrame:
     """(thread_id, post_id, ord, text, refs, board, source_path): the newest row of each post, ``refs`` as distinct ids in order."""
-    exact = F.filter("refs", lambda r: r.rlike(r"^>>[0-9]+\z"))
-    ids = F.array_distinct(F.filter(F.transform(exact, lambda r: F.substring(r, 3, 40).try_cast("long")), lambda x: x.isNotNull()))
-    rows = posts.withColumn("refs", F.coalesce(ids, F.array().cast("array<bigint>")))
+    rows = posts.withColumn("refs", exact_references("refs"))
     return newest_posts(rows, "thread_id", "ord", "text", "refs", "board", "source_path")
 
 

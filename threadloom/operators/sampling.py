@@ -14,7 +14,8 @@ def reservoir(rows: DataFrame, order: list[str], size: int, seed: int, total: in
     """The rows that Algorithm R with ``random.Random(seed)`` keeps of a stream in ``order``, with their ``slot``.
 
     Which places of a stream of n rows are kept depends on n, ``size`` and the seed alone, so they are drawn without the rows;
-    only the kept places are joined.
+    only the kept places are joined. The draws of this seeded generator can only be made one after another, n of them (about a
+    million a second); ``hash_sample`` needs none and suits streams of billions.
     """
     n = rows.count() if total is None else total
     draw, slots = random.Random(seed), {}
@@ -27,14 +28,23 @@ def reservoir(rows: DataFrame, order: list[str], size: int, seed: int, total: in
     return placed.join(small_side(kept, len(slots)), "_at").drop("_at")
 
 
-def with_places(rows: DataFrame, order: list[str], name: str = "_at") -> DataFrame:
-    """``rows`` with their place (from 0) in ``order``, numbered in parallel: ranges of the order are sorted apart, counted, and
-    numbered from the running counts (one per range)."""
+def numbered_ranges(rows: DataFrame, order: list[str], amounts: dict[str, str]) -> DataFrame:
+    """``rows`` with, for each new column, the sum of an amount column over the rows before in ``order``: ranges of the order are
+    sorted and summed apart, and stitched by the running sums of the ranges (one row per range)."""
     parts = materialize(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    return parts.join(starts, "_part").withColumn(name, F.col("_s") + F.col("_in") - 1).drop("_part", "_in", "_s")
+    by = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges only
+    sums = parts.groupBy("_part").agg(*(F.sum(a).alias(f"_s_{n}") for n, a in amounts.items()))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    starts = sums.select("_part", *(zero(F.sum(f"_s_{n}").over(before)).alias(f"_b_{n}") for n in amounts))
+    inside = parts.select("*", *(zero(F.sum(a).over(by)).alias(f"_i_{n}") for n, a in amounts.items()))
+    joined = inside.join(starts, "_part")
+    return joined.select(*rows.columns, *((F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in amounts))
+
+
+def with_places(rows: DataFrame, order: list[str], name: str = "_at") -> DataFrame:
+    """``rows`` with their place (from 0) in ``order``, numbered in parallel."""
+    return numbered_ranges(rows.withColumn("_one", F.lit(1).cast("bigint")), order, {name: "_one"}).drop("_one")
 
 
 def hash_sample(rows: DataFrame, keys: list[str], size: int, seed: int) -> DataFrame:

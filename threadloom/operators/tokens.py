@@ -186,30 +186,30 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select(pieces.alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
-def train_bpe(texts: DataFrame, text: str, path: str, vocabulary: int = 8192, least: int = 2) -> None:
-    """Train a byte-level BPE tokenizer with the special tokens on a column of texts and save it as one JSON file.
-
-    The trainer runs on the driver and reads the corpus as a stream, one partition at a time.
-    """
-    if vocabulary < 256 + len(SPECIAL_TOKENS):
-        raise ValueError("the vocabulary is smaller than the bytes and special tokens")
-    from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
-
-    tokenizer = Tokenizer(models.BPE(unk_token="<UNK>"))
-    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
-    tokenizer.decoder = decoders.ByteLevel()
-    trainer = trainers.BpeTrainer(
-        vocab_size=vocabulary, min_frequency=least, special_tokens=list(SPECIAL_TOKENS),
-        initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False,
-    )
-    rows = texts.filter(F.col(text).isNotNull()).select(text).toLocalIterator()
-    tokenizer.train_from_iterator((r[0] for r in rows), trainer)
-    tokenizer.save(path)
-
-
 def training_plan(samples: int, batch_size: int, epochs: int | None = None, max_steps: int | None = None, accumulation: int = 1) -> tuple[int, int, int]:
     """(steps per epoch, steps in all, epochs) for exactly one of ``epochs`` and ``max_steps``."""
     if min(samples, batch_size, accumulation) <= 0 or (epochs is None) == (max_steps is None) or (epochs or max_steps or 0) <= 0:
         raise ValueError("samples, sizes and exactly one of epochs and max_steps must be positive")
     steps = -(-(-(-samples // batch_size)) // accumulation)
     return (steps, steps * epochs, epochs) if epochs is not None else (steps, max_steps, -(-max_steps // steps))
+
+
+def training_plan_columns(samples: Column, batch_size: int, epochs: int | None = None, max_steps: int | None = None, accumulation: int = 1) -> tuple[Column, Column, Column]:
+    """``training_plan`` for a column of sample numbers; null where there are no samples."""
+    training_plan(1, batch_size, epochs, max_steps, accumulation)  # the same demands on the settings
+    steps = F.when(samples > 0, F.ceil(F.ceil(samples / batch_size) / accumulation))
+    return (steps, steps * epochs, F.when(steps.isNotNull(), F.lit(epochs))) if epochs is not None else (steps, F.when(steps.isNotNull(), F.lit(max_steps)), F.ceil(F.lit(max_steps) / steps))
+
+
+def chat_prompt(question: Column) -> Column:
+    """Ids of a prompt that an answer is to follow: begin, user, the question's ids, assistant. A null question is an empty one."""
+    one = lambda name: F.array(F.lit(SPECIAL_TOKENS[name]).cast("long"))
+    return F.concat(one("<BOS>"), one("<USER>"), F.coalesce(question, F.array().cast("array<bigint>")), one("<ASSISTANT>"))
+
+
+def templated_prompt(question: Column, system: Column, begin: str = "<|im_start|>", end: str = "<|im_end|>") -> Column:
+    """A prompt as one text by a chat template: the system text as a message of its own where there is one, the question, and the
+    opening of the answer with an empty thought, so that none is written. The markers are parameters."""
+    turn = lambda role, text: F.concat(F.lit(f"{begin}{role}\n"), text, F.lit(f"{end}\n"))
+    before = F.when(system.isNull(), F.lit("")).otherwise(turn("system", system))
+    return F.concat(before, turn("user", F.coalesce(question, F.lit(""))), F.lit(f"{begin}assistant\n<think>\n\n</think>\n\n"))

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import chat, dedup, graph, splitting, statistics, tokens
+from threadloom.operators import chat, dedup, graph, sampling, splitting, statistics, tokens
+from threadloom.operators.chat import SPECIAL_TOKENS
 from threadloom.plans.texts import _VALID
 from threadloom.stages import materialize
 
@@ -65,23 +66,45 @@ def _documents(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("place"), "text")
 
 
+def _spoken(spark, sf_dir) -> DataFrame:
+    """(doc_id, place, text) of the samples: all that is said in one, once per sample number."""
+    said = F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), " ")
+    rows = _t(spark, sf_dir, "samples").filter("sample_no is not null and messages is not null").groupBy(F.col("sample_no").alias("doc_id")).agg(F.min(said).alias("text"))
+    return rows.select("doc_id", F.col("doc_id").alias("place"), "text")
+
+
 def shingle_pairs(spark, sf_dir):
-    """Documents whose word shingles are alike by six tenths, blocked on every shingle, so that none is missed."""
-    texts = materialize(dedup.distinct_texts(_documents(spark, sf_dir), "text", "place", exact=False), "texts")
-    pairs = dedup.similar_pairs(texts, 0.6, "md5", anchors=0)
+    """Samples whose word shingles are alike by eight tenths, blocked on every shingle, so that none is missed."""
+    texts = materialize(dedup.distinct_texts(_spoken(spark, sf_dir), "text", "place", exact=False), "texts")
+    pairs = dedup.similar_pairs(texts, 0.8, "md5", anchors=0)
     at = texts.select("key", "place")
     named = pairs.join(at.withColumnsRenamed({"key": "later", "place": "later_id"}), "later").join(at.withColumnsRenamed({"key": "earlier", "place": "earlier_id"}), "earlier")
     return named.select("later_id", "earlier_id", "similarity")
 
 
+def anchored_pairs(spark, sf_dir):
+    """The same blocked on the four smallest shingle hashes: how many of all alike pairs that finds, and how many there are."""
+    texts = materialize(dedup.distinct_texts(_spoken(spark, sf_dir), "text", "place", exact=False), "texts")
+    every = materialize(dedup.similar_pairs(texts, 0.8, "md5", anchors=0), "every")
+    found = dedup.similar_pairs(texts, 0.8, "md5").withColumn("hit", F.lit(1))
+    return every.join(found.select("later", "earlier", "hit"), ["later", "earlier"], "left").agg(F.count("hit").alias("found"), F.count("*").alias("pairs"))
+
+
 def greedy_dedup(spark, sf_dir):
     """Documents judged in the order of their ids: unique, exact or near duplicate of a kept one."""
     return dedup.classify(_documents(spark, sf_dir), exact=False, hashing="md5", similarity=0.8).select("doc_id", "status")
 
 
+def greedy_dedup_samples(spark, sf_dir):
+    """Samples judged in the order of their numbers: unique, exact or near duplicate of a kept one."""
+    return dedup.classify(_spoken(spark, sf_dir), exact=False, hashing="md5", similarity=0.8).select("doc_id", "status")
+
+
 def _grouped(spark, sf_dir) -> DataFrame:
-    rows = _t(spark, sf_dir, "samples").filter("metadata.thread_id is not null")
-    return rows.select("sample_no", "loaded_at", F.coalesce(F.lower(F.regexp_replace("metadata.board", r"[\s/]", "")), F.lit("chatml")).alias("board"), F.col("metadata.thread_id").alias("thread_id"), "split_name", "messages")
+    """All samples with their group: board and thread, else the digest of what is said."""
+    code = F.lower(F.regexp_replace("metadata.board", r"[\s/]", ""))
+    board, thread = chat.group_key(code, F.col("metadata.thread_id"), F.col("messages"))
+    return _t(spark, sf_dir, "samples").select("sample_no", "loaded_at", board.alias("board"), thread.cast("string").alias("thread_id"), "split_name")
 
 
 def group_split(spark, sf_dir):
@@ -97,8 +120,11 @@ def split_report(spark, sf_dir):
 
 
 def leakage_check(spark, sf_dir):
-    """Threads whose samples lie in more than one of the given splits."""
-    return splitting.leaking_groups(_grouped(spark, sf_dir).withColumnRenamed("split_name", "split"))
+    """Threads, and authors by their tripcodes, whose samples lie in more than one of the given splits."""
+    rows = _grouped(spark, sf_dir).select("board", "thread_id", F.col("split_name").alias("split"))
+    code = F.trim(F.regexp_extract("metadata.author_tag", r"(?s)(!.*)$", 1))
+    authors = _t(spark, sf_dir, "samples").select(F.lit("author").alias("board"), code.alias("thread_id"), F.col("split_name").alias("split"))
+    return splitting.leaking_groups(rows.unionByName(authors.filter(F.length("thread_id") > 1)))
 
 
 def multiset_check(spark, sf_dir):
@@ -203,10 +229,17 @@ def context_sizes(spark, sf_dir):
     return rows.groupBy(F.size("context").alias("context_texts")).agg(F.count("*").alias("samples"), F.countDistinct("sample_no").alias("distinct_samples"))
 
 
+def label_audit(spark, sf_dir):
+    """Training rows whose labels hold the end of the answer, and how many such ends there are."""
+    rows = _encoded(spark, sf_dir).filter("ids is not null")
+    labels = tokens.unshifted_labels(F.col("ids"), tokens.response_start(F.col("ids"), F.col("resp")))
+    return sampling.label_audit(rows.select(labels.alias("labels")), "labels", SPECIAL_TOKENS["<EOS>"])
+
+
 QUERIES = {f.__name__: f for f in (
-    reply_edges, ancestor_closure, thread_sizes, thread_samples, drop_report, shingle_pairs, greedy_dedup, group_split, split_report, leakage_check,
+    reply_edges, ancestor_closure, thread_sizes, thread_samples, drop_report, shingle_pairs, anchored_pairs, greedy_dedup, greedy_dedup_samples, group_split, split_report, leakage_check,
     multiset_check, token_window, whole_window, chat_window, training_rows, padded_batches, packed_rows, packing_totals, token_statistics,
-    length_distributions, window_fit, context_sizes,
+    length_distributions, window_fit, context_sizes, label_audit,
 )}
 #: The same at the reference's default window and report windows; those above show truncation at 96 tokens.
 QUERIES |= {
@@ -226,6 +259,8 @@ edges AS (
   SELECT DISTINCT c.thread_id, c.post_id AS child, p.post_id AS parent
   FROM (SELECT thread_id, post_id, ord, unnest(refs) AS ref FROM kept) c JOIN kept p ON p.thread_id = c.thread_id AND p.post_id = c.ref AND p.ord < c.ord)"""
 
+_SPOKEN = """spoken AS (SELECT sample_no AS doc_id, min(array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' ')) AS text FROM samples WHERE sample_no IS NOT NULL AND messages IS NOT NULL GROUP BY 1)"""
+
 _SHINGLES = r"""c AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') AS c FROM documents),
 firsts AS (SELECT c, min(doc_id) AS id FROM c WHERE length(c) >= 80 GROUP BY c),
 words AS (SELECT id, c, string_split(c, ' ') AS w FROM firsts),
@@ -238,7 +273,9 @@ resembling AS (SELECT later, earlier, len(list_intersect(x.s, y.s)) / (len(x.s)
   FROM cand JOIN grams x ON x.id = later JOIN grams y ON y.id = earlier),
 alike AS (SELECT * FROM resembling WHERE similarity >= {t})"""
 
-_GROUPS = r"""g AS (SELECT sample_no, coalesce(lower(regexp_replace(metadata.board, '[\s/]', '', 'g')), 'chatml') AS board, metadata.thread_id AS thread_id, split_name FROM samples WHERE metadata.thread_id IS NOT NULL),
+_GROUPS = r"""g AS (SELECT sample_no, coalesce(lower(regexp_replace(metadata.board, '[\s/]', '', 'g')), 'chatml') AS board, coalesce(metadata.thread_id::VARCHAR,
+  (CAST('0x' || substr(sha256('[' || array_to_string(list_transform(messages, lambda m: '[' || to_json(m.role)::VARCHAR || ', ' || coalesce(to_json(m.content)::VARCHAR, 'null') || ']'), ', ') || ']'), 1, 16) AS UBIGINT))::VARCHAR) AS thread_id,
+  split_name FROM samples),
 ranked AS (SELECT board, thread_id, row_number() OVER (ORDER BY sha256('42:' || board || ':' || thread_id), board, thread_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT board, thread_id FROM g)),
 assigned AS (SELECT board, thread_id, CASE WHEN k < floor(n * 0.9::DOUBLE) THEN 'train' WHEN k < floor(n * 0.9::DOUBLE) + floor(n * 0.05::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM ranked)"""
 
@@ -272,7 +309,12 @@ reach AS (SELECT child AS node, parent AS ancestor FROM edges UNION SELECT r.nod
 SELECT node, count(*) AS ancestors, min(ancestor) AS first_ancestor FROM reach GROUP BY node""",
     "thread_sizes": f"""WITH {_EDGES}, a AS (SELECT thread_id, count(DISTINCT child) AS answers FROM edges GROUP BY 1)
 SELECT thread_id, count(*) AS posts, min(ord) AS first_ord, max(ord) AS last_ord, coalesce(any_value(answers), 0) AS answers FROM kept LEFT JOIN a USING (thread_id) GROUP BY thread_id""",
-    "shingle_pairs": f"WITH {_SHINGLES.replace("{t}", "0.6").replace("list_sort(s)[1:4]", "s")} SELECT later AS later_id, earlier AS earlier_id, similarity FROM alike",
+    "shingle_pairs": f"WITH {_SPOKEN}, {_SHINGLES.replace('{t}', '0.8').replace('list_sort(s)[1:4]', 's').replace('FROM documents', 'FROM spoken')} SELECT later AS later_id, earlier AS earlier_id, similarity FROM alike",
+    "anchored_pairs": f"""WITH {_SPOKEN}, {_SHINGLES.replace('{t}', '0.8').replace('FROM documents', 'FROM spoken')},
+n AS (SELECT count(*) AS found FROM alike), eb AS (SELECT id, n, unnest(s) AS a FROM grams),
+ec AS (SELECT DISTINCT x.id AS later, y.id AS earlier FROM eb x JOIN eb y ON x.a = y.a AND y.id < x.id WHERE least(x.n, y.n) / greatest(x.n, y.n) >= 0.8)
+SELECT any_value(found) AS found, count(*) AS pairs FROM n, ec JOIN grams x ON x.id = later JOIN grams y ON y.id = earlier
+WHERE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= 0.8""",
     "greedy_dedup": f"""WITH RECURSIVE {_SHINGLES.replace("{t}", "0.8")},
 nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT later AS id FROM alike)),
 walk AS (
@@ -288,7 +330,9 @@ FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN firsts f ON f.c = c.c""",
 grid AS (SELECT board, split FROM (SELECT DISTINCT board FROM g), (VALUES ('train'), ('validation'), ('test')) s(split)),
 f AS (SELECT board, split, coalesce(threads, 0) AS threads, coalesce(samples, 0) AS samples FROM grid LEFT JOIN r USING (board, split))
 SELECT * FROM f UNION ALL SELECT NULL, split, sum(threads)::BIGINT, sum(samples)::BIGINT FROM f GROUP BY split""",
-    "leakage_check": f"WITH {_GROUPS} SELECT board, thread_id, count(DISTINCT split_name) AS splits FROM g GROUP BY ALL HAVING count(DISTINCT split_name) > 1",
+    "leakage_check": f"""WITH {_GROUPS}, a AS (SELECT board, thread_id, split_name FROM g
+  UNION ALL SELECT 'author', trim(regexp_extract(metadata.author_tag, '(?s)(!.*)$', 1), ' '), split_name FROM samples WHERE length(trim(regexp_extract(metadata.author_tag, '(?s)(!.*)$', 1), ' ')) > 1)
+SELECT board, thread_id, count(DISTINCT split_name) AS splits FROM a GROUP BY ALL HAVING count(DISTINCT split_name) > 1""",
     "multiset_check": "SELECT sample_no, count(*) - 1 AS surplus FROM samples GROUP BY sample_no HAVING count(*) > 1",
     "token_window": f"""WITH {_IDS} SELECT sample_no, loaded_at, md5(array_to_string(ids, ' ')) AS digest, len(ids)::INT AS n, CASE WHEN ids IS NOT NULL THEN len(ids) - len(resp) + 1 END::INT AS response_start FROM win""",
     "whole_window": f"WITH {_IDS} SELECT sample_no, loaded_at, CASE WHEN len(resp) + 1 <= 96 AND newest THEN 1 + whole + len(resp) END::INT AS n FROM win",
@@ -311,5 +355,8 @@ SELECT split, n AS count, v[1] AS min, v[n] AS max, list_avg(v) AS mean, (v[CAST
     "window_fit": f'WITH {_IDS} SELECT w::INT AS "window", count(*) FILTER (tokens <= w) AS samples, 100.0::DOUBLE * count(*) FILTER (tokens <= w) / count(*) AS percentage FROM measured, (VALUES (64), (128), (256)) x(w) GROUP BY w',
     "context_sizes": f"WITH {_IDS} SELECT len(context)::INT AS context_texts, count(*) AS samples, count(DISTINCT sample_no) AS distinct_samples FROM coded GROUP BY 1",
 }
+ORACLES["greedy_dedup_samples"] = ORACLES["greedy_dedup"].replace("WITH RECURSIVE", f"WITH RECURSIVE {_SPOKEN},").replace("FROM documents", "FROM spoken")
+ORACLES["label_audit"] = f"""WITH {_IDS}, e AS (SELECT len(list_filter(resp[2:], lambda x: x = 3)) AS n FROM win WHERE ids IS NOT NULL)
+SELECT count(*) AS rows, count(*) FILTER (n > 0) AS rows_with_end, coalesce(sum(n), 0)::BIGINT AS end_tokens FROM e"""
 ORACLES |= {f"{name}_512": re.sub(r"\b96\b", "512", ORACLES[name]) for name in ("training_rows", "padded_batches", "packing_totals", "token_statistics")}
 ORACLES["window_fit_1024"] = ORACLES["window_fit"].replace("(64), (128), (256)", "(512), (768), (1024)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
 from threadloom.operators import catalog, progress, sampling
-from threadloom.operators.tokens import training_plan
+from threadloom.operators.tokens import training_plan_columns
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,9 @@ def elapsed_format(spark, sf_dir):
 def training_plans(spark, sf_dir):
     """Steps of a training run over each event type's events."""
     rows = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    steps = F.ceil(F.ceil(F.col("n") / 8) / 4)
-    assert training_plan(17, 8, epochs=2, accumulation=2) == (2, 4, 2)
-    return rows.select("event_type", steps.alias("steps_per_epoch"), (steps * 3).alias("total_steps"), F.ceil(F.lit(500) / steps).alias("epochs_for_500"))
+    steps, whole, _ = training_plan_columns(F.col("n"), 8, epochs=3, accumulation=4)
+    _, _, epochs = training_plan_columns(F.col("n"), 8, max_steps=500, accumulation=4)
+    return rows.select("event_type", steps.alias("steps_per_epoch"), whole.alias("total_steps"), epochs.alias("epochs_for_500"))
 
 
 def top_scores(spark, sf_dir):
@@ -98,12 +98,6 @@ def equal_vectors(spark, sf_dir):
     return sampling.equal_vectors(joined, "embedding", F.col("wanted")).select("vec_id", "norm")
 
 
-def label_audit(spark, sf_dir):
-    """Embeddings seen as label rows: how many hold the end value, and how often."""
-    rows = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.col("event_id") % 50).alias("labels"))
-    return sampling.label_audit(rows, "labels", 7)
-
-
 def version_order(spark, sf_dir):
     """Supplier keys as dataset versions: which are well formed, and their places in numeric order."""
     rows = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("v"), (F.col("s_suppkey") - 1).cast("string")).alias("version"), F.concat(F.lit("set-"), F.col("s_nationkey").cast("string")).alias("dataset_id"))
@@ -147,15 +141,31 @@ def registrations(spark, sf_dir):
     return catalog.registered(rows)
 
 
+_FILES = (
+    "config.json", "model.bin", "onnx/model.safetensors", "optimizer.bin", "model.safetensors", "readme.md", "tokenizer.json", "GGUF/w.json", "sub/scheduler.json", "merges.bpe", "Config.json",
+    "a/tf/b/x.txt", "sub/part.bin",
+)
+
+
+def _model_files(spark, sf_dir):
+    """Parts as files of their types' and sizes' models."""
+    kind = F.element_at(F.array(*map(F.lit, _FILES)), (F.col("p_partkey") % len(_FILES) + 1).cast("int"))
+    return _t(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("model"), kind.alias("filename")).distinct()
+
+
 def selected_files(spark, sf_dir):
     """Parts as files of models: which ones are worth fetching."""
-    kind = F.element_at(F.array(*map(F.lit, ("config.json", "model.bin", "onnx/model.bin", "optimizer.bin", "model.safetensors", "readme.md", "tokenizer.json"))), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return catalog.selected_files(_t(spark, sf_dir, "part").select(F.col("p_brand").alias("model"), kind.alias("filename")).distinct())
+    return catalog.selected_files(_model_files(spark, sf_dir))
+
+
+def unusable_models(spark, sf_dir):
+    """Parts as files of models: which models lack a config or weights."""
+    return catalog.unusable_models(_model_files(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     loss_series, interval_losses, weighted_loss, progress_items, progress_throttle, eta, elapsed_format, training_plans, top_scores, hash_sample, reservoir,
-    epoch_order, equal_vectors, label_audit, version_order, run_numbers, checkpoint_order, evaluation_plan, catalog_merge, registrations, selected_files,
+    epoch_order, equal_vectors, version_order, run_numbers, checkpoint_order, evaluation_plan, catalog_merge, registrations, selected_files, unusable_models,
 )}
 
 ORACLES = {
@@ -183,7 +193,6 @@ FROM (SELECT event_type, ceil(ceil(count(*) / 8.0::DOUBLE) / 4.0::DOUBLE)::BIGIN
     "hash_sample": "SELECT doc_id, md5('42:' || doc_id) AS digest FROM documents ORDER BY 2 LIMIT 50",
     "epoch_order": "SELECT doc_id, row_number() OVER (ORDER BY md5('43:' || doc_id), doc_id) - 1 AS place FROM documents",
     "equal_vectors": "SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings WHERE embedding = (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)",
-    "label_audit": "SELECT count(*) AS rows, count(*) FILTER (n > 0) AS rows_with_end, sum(n)::BIGINT AS end_tokens FROM (SELECT user_id, count(*) FILTER (event_id % 50 = 7) AS n FROM events GROUP BY 1)",
     "version_order": """SELECT 'set-' || s_nationkey AS dataset_id, 'v' || (s_suppkey - 1) AS version, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey))::INT AS place FROM supplier WHERE s_suppkey > 1""",
     "run_numbers": """WITH t AS (SELECT DISTINCT s_nationkey, (s_suppkey + 3) // 4 AS n FROM supplier), c AS (SELECT DISTINCT s_nationkey, 1::BIGINT AS n FROM t UNION SELECT s_nationkey, n + 1 FROM t)
 SELECT s_nationkey, min(n)::BIGINT AS next_number FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.s_nationkey = c.s_nationkey AND t.n = c.n) GROUP BY 1""",
@@ -195,8 +204,12 @@ SELECT p_brand, name, (row_number() OVER (PARTITION BY p_brand ORDER BY CASE nam
 SELECT lower(m) AS key, arg_max(CASE WHEN p = 1 THEN array_to_string(list_transform(string_split(d, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE m END, p) AS model_id, arg_max(d, p) FILTER (d IS NOT NULL) AS display_name, count(DISTINCT p) AS sources FROM r GROUP BY 1""",
     "registrations": """WITH r AS (SELECT DISTINCT o_custkey AS model_id, CASE o_orderkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'lora' WHEN 2 THEN 'qlora' ELSE 'other' END AS mode, o_orderkey % 16 = 1 AS active FROM orders)
 SELECT model_id, mode, active FROM r WHERE mode <> 'other' QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY CASE WHEN active THEN 0 WHEN mode = 'qlora' THEN 1 WHEN mode = 'lora' THEN 2 ELSE 3 END) = 1""",
-    "selected_files": """WITH f AS (SELECT DISTINCT p_brand AS model, ['config.json', 'model.bin', 'onnx/model.bin', 'optimizer.bin', 'model.safetensors', 'readme.md', 'tokenizer.json'][p_partkey % 7 + 1] AS filename FROM part),
-s AS (SELECT *, bool_or(filename = 'model.safetensors') OVER (PARTITION BY model) AS safe FROM f),
-k AS (SELECT model, filename FROM s WHERE filename IN ('config.json', 'model.safetensors', 'tokenizer.json') OR (filename = 'model.bin' AND NOT safe))
-SELECT model, filename FROM k QUALIFY bool_or(filename = 'config.json') OVER (PARTITION BY model) AND bool_or(filename LIKE 'model.%') OVER (PARTITION BY model)""",
 }
+_SELECTED = f"""WITH f AS (SELECT DISTINCT p_brand || '/' || p_size AS model, {list(_FILES)}[p_partkey % {len(_FILES)} + 1] AS filename FROM part),
+o AS (SELECT *, NOT regexp_matches(filename, '(?i)(^|/)(onnx|openvino|original|gguf|ggml|flax|tf)/') AS outside FROM f),
+s AS (SELECT *, bool_or(outside AND filename LIKE '%.safetensors') OVER (PARTITION BY model) AS safe FROM o),
+t AS (SELECT *, outside AND (regexp_matches(filename, '[.](json|model|txt|tiktoken|bpe|jinja|safetensors)$') OR filename LIKE '%.bin' AND NOT safe)
+  AND NOT regexp_matches(filename, '(^|/)(training_args|optimizer|scheduler)[^/]*$') AS take FROM s),
+j AS (SELECT *, bool_or(take AND filename = 'config.json') OVER (PARTITION BY model) AS config, bool_or(take AND regexp_matches(filename, '[.](safetensors|bin)$')) OVER (PARTITION BY model) AS weights FROM t)"""
+ORACLES["selected_files"] = f"{_SELECTED} SELECT model, filename FROM j WHERE take AND config AND weights"
+ORACLES["unusable_models"] = f"{_SELECTED} SELECT DISTINCT model, CASE WHEN NOT config THEN 'no_config' ELSE 'no_weights' END AS reason FROM j WHERE NOT (config AND weights)"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from threadloom.plans import corpora, hierarchies, operations, texts
+from threadloom.plans import corpora, hierarchies, operations, runs, texts
 
-_MODULES = (hierarchies, texts, corpora, operations)
+_MODULES = (hierarchies, texts, corpora, operations, runs)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

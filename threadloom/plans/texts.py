@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import chat
+from threadloom.operators import catalog, chat
 from threadloom.sources import files
 
 
@@ -22,19 +22,14 @@ def clean_posts(spark, sf_dir):
 
 
 def text_noise(spark, sf_dir):
-    """Links, addresses and references in documents."""
-    found = lambda p: F.coalesce(F.size(F.regexp_extract_all("text", F.lit(p), 0)), F.lit(0))
-    return _t(spark, sf_dir, "documents").select(
-        "doc_id", found(r"(?i)(?:https?://|ftp://|www\.)[^\s]+").alias("urls"), found(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}").alias("ipv4"),
-        found(r">>[0-9]+").alias("refs"), found(r"(?i)\(\s*OP\s*\)").alias("op_marks"),
-    )
+    """Documents without links, addresses, numbers to call, handles, references and author marks, by length and digest."""
+    bare = X.without_noise("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.length(bare).alias("chars"), F.md5(bare.cast("binary")).alias("digest"))
 
 
 def squeezed_text(spark, sf_dir):
-    """Documents with references and author marks dropped, blanks squeezed and empty lines left out."""
-    bare = F.regexp_replace(F.regexp_replace("text", r">>[0-9]+", " "), r"(?i)\(\s*OP\s*\)", " ")
-    lines = F.transform(F.split(bare, "\n"), lambda s: F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"^ | $", ""))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(lines, lambda s: s != ""), "\n").alias("squeezed"))
+    """Documents without control characters, extra blanks and empty lines."""
+    return _t(spark, sf_dir, "documents").select("doc_id", X.squeezed("text").alias("squeezed"))
 
 
 def meaningful_posts(spark, sf_dir):
@@ -65,25 +60,25 @@ def thread_urls(spark, sf_dir):
 
 def catalog_scan(spark, sf_dir):
     """Thread numbers of the boards' catalogs, read from their JSON payloads, in the order of first mention."""
-    rows = _t(spark, sf_dir, "threads").select(F.lower(F.regexp_replace("board", r"[\s/]", "")).alias("code"), F.col("thread_id").alias("num"), "post_count")
-    items = F.sort_array(F.collect_list(F.struct("post_count", "num")))  # a board's catalog page
+    code = F.lower(F.regexp_replace("board", r"[\s/]", "")).alias("code")
+    rows = _t(spark, sf_dir, "threads").select(code, F.floor(F.col("thread_id") / 1000).alias("page"), F.col("thread_id").alias("num"), "post_count")
+    items = F.sort_array(F.collect_list(F.struct("post_count", "num")))  # a page of a catalog: at most a thousand numbers
     payload = F.to_json(F.struct(F.transform(items, lambda x: F.struct(x["num"].alias("num"))).alias("threads")))
-    return files.catalog_ids(rows.groupBy("code").agg(payload.alias("payload")), keys=["code"])
+    return files.catalog_ids(rows.groupBy("code", "page").agg(payload.alias("payload")), keys=["code", "page"])
 
 
 def new_threads(spark, sf_dir):
-    """Threads that posts know and the threads table doesn't, and the other way round."""
-    known = _t(spark, sf_dir, "threads").select("thread_id").distinct()
-    seen = _t(spark, sf_dir, "posts").select("thread_id").distinct()
-    one = seen.join(known, "thread_id", "left_anti").withColumn("missing_in", F.lit("threads"))
-    return one.unionByName(known.join(seen, "thread_id", "left_anti").withColumn("missing_in", F.lit("posts")))
+    """Threads of the catalog that no document was taken from, and threads of documents that no sample knows."""
+    ids = lambda name, column: _t(spark, sf_dir, name).select(F.col(column).alias("thread_id")).filter("thread_id is not null").distinct()
+    threads, documents, samples = ids("threads", "thread_id"), ids("documents", "thread_id"), ids("samples", "metadata.thread_id")
+    one = catalog.missing_keys(threads, documents, ["thread_id"]).withColumn("missing_in", F.lit("documents"))
+    return one.unionByName(catalog.missing_keys(documents, samples, ["thread_id"]).withColumn("missing_in", F.lit("samples")))
 
 
 def raw_posts(spark, sf_dir):
-    """Posts with their exact references as distinct numbers in order, counted by how many there are."""
-    exact = F.filter("refs", lambda r: r.rlike(r"^>>[0-9]+\z"))
-    n = F.coalesce(F.size(F.array_distinct(exact)), F.lit(0))
-    return _t(spark, sf_dir, "posts").groupBy(n.alias("references")).agg(F.count("*").alias("posts"))
+    """Posts with their exact references as distinct numbers in order, by how many there are and the sum of the first ones."""
+    rows = _t(spark, sf_dir, "posts").select(X.exact_references("refs").alias("r"))
+    return rows.groupBy(F.size("r").alias("references")).agg(F.count("*").alias("posts"), F.sum(F.try_element_at("r", F.lit(1))).alias("first_references"))
 
 
 def chat_validate(spark, sf_dir):
@@ -114,7 +109,7 @@ def chat_serialized(spark, sf_dir):
 def chat_groups(spark, sf_dir):
     """Group keys of all samples: board and thread, else by the digest of the messages."""
     board, thread = chat.group_key(F.col("metadata.board"), F.col("metadata.thread_id"), F.col("messages"))
-    return _t(spark, sf_dir, "samples").select("sample_no", "loaded_at", board.alias("board"), thread.alias("thread_key"))
+    return _t(spark, sf_dir, "samples").select("sample_no", "loaded_at", board.alias("board"), thread.cast("string").alias("thread_key"))
 
 
 def training_texts(spark, sf_dir):
@@ -143,6 +138,29 @@ QUERIES = {f.__name__: f for f in (
     chat_validate, chat_samples, chat_serialized, chat_groups, training_texts, qa_pairs, qa_report, markdown_fences,
 )}
 
+#: The noise patterns in a dialect without look-around: the characters beside a match are matched and put back, twice, because a
+#: character between two matches can serve only one of them at a time.
+_W = r"[\p{L}\p{N}_]"
+_BLANK = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _sql_noise(text: str) -> str:
+    out = f"regexp_replace({text}, '(?i)(?:https?://|ftp://|www\\.)[^{_BLANK[1:-1]}]+', ' ', 'g')"
+    out = f"regexp_replace({out}, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_.+-]*@[\\p{{L}}\\p{{N}}_.-]+\\.[A-Za-z]{{2,}}', ' ', 'g')"
+    for pattern in (r"(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}", r"\+?\p{Nd}[\p{Nd} ()-]{8,}\p{Nd}", "@[A-Za-z0-9_]{5,}"):
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(^|[^\\p{{L}}\\p{{N}}_]){pattern}($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\2', 'g')"
+    out = f"regexp_replace({out}, '>>\\p{{Nd}}+', ' ', 'g')"
+    return f"regexp_replace({out}, '(?i)\\({_BLANK}*OP{_BLANK}*\\)', ' ', 'g')"
+
+
+def _sql_squeezed(text: str) -> str:
+    shown = f"regexp_replace({text}, '[\\x{{00}}-\\x{{08}}\\x{{0B}}-\\x{{1F}}\\x{{7F}}-\\x{{9F}}\\p{{Cf}}\\p{{Co}}]', '', 'g')"
+    lines = f"regexp_split_to_array({shown}, '[\\n\\x{{2028}}\\x{{2029}}]')"
+    tidy = f"list_transform({lines}, lambda s: regexp_replace(regexp_replace(s, '[ \\t]+', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g'))"
+    return f"array_to_string(list_filter({tidy}, lambda s: s <> ''), chr(10))"
+
+
 _VALID = r"""shaped AS (
   SELECT *, CASE WHEN messages[1].role = 'system' THEN messages[2:] ELSE messages END AS t FROM samples),
 checked AS (
@@ -165,11 +183,13 @@ final AS (
     THEN 'exact_duplicate' ELSE reason END AS drop_reason FROM rated)"""
 
 ORACLES = {
-    "text_noise": r"""SELECT doc_id, coalesce(len(regexp_extract_all(text, '(?i)(?:https?://|ftp://|www\.)[^\s]+')), 0)::INT AS urls,
-  coalesce(len(regexp_extract_all(text, '(?:[0-9]{1,3}\.){3}[0-9]{1,3}')), 0)::INT AS ipv4, coalesce(len(regexp_extract_all(text, '>>[0-9]+')), 0)::INT AS refs,
-  coalesce(len(regexp_extract_all(text, '(?i)\(\s*OP\s*\)')), 0)::INT AS op_marks FROM documents""",
-    "squeezed_text": r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '>>[0-9]+', ' ', 'g'), '(?i)\(\s*OP\s*\)', ' ', 'g'), chr(10)),
-  lambda s: regexp_replace(regexp_replace(s, '[ \t]+', ' ', 'g'), '^ | $', '', 'g')), lambda s: s <> ''), chr(10)) AS squeezed FROM documents""",
+    "text_noise": f"SELECT doc_id, length(b)::INT AS chars, md5(b) AS digest FROM (SELECT doc_id, {_sql_noise('text')} AS b FROM documents)",
+    "squeezed_text": f"SELECT doc_id, {_sql_squeezed('text')} AS squeezed FROM documents",
+    "clean_posts": f"""WITH p AS (SELECT post_id, ord, fetched_at, replace(replace(replace(replace(nfc_normalize(text), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM posts),
+c AS (SELECT post_id, ord, fetched_at, {_sql_squeezed(_sql_noise(r"regexp_replace(t, '</?[A-Za-z][^>]*>', ' ', 'g')"))} AS cleaned FROM p),
+d AS (SELECT *, regexp_replace(regexp_replace(cleaned, '{_BLANK}+', ' ', 'g'), '^[ .,!?:;—-]+|[ .,!?:;—-]+$', '', 'g') AS c FROM c)
+SELECT post_id, ord, fetched_at, cleaned, coalesce(regexp_matches(cleaned, '[\\p{{L}}\\p{{N}}\\p{{S}}]') AND NOT (length(c) <= 80
+  AND regexp_matches(c, '(?i)^(?:пикрил(?:ейтед)?|вот (?:это|эта|этот|оно)|согласны\\??|как вам\\??|что думаете\\??|(?:смотри|см\\.)?\\s*(?:фото|картинк[ауе]|скрин))$')), false) AS usable FROM d""",
     "meaningful_posts": r"""SELECT coalesce(regexp_matches(text, '[\p{L}\p{N}\p{S}]'), false) AS meaningful,
   coalesce(length(c) <= 80 AND regexp_matches(c, '(?i)^(?:пикрил(?:ейтед)?|вот (?:это|эта|этот|оно)|согласны\??|как вам\??|что думаете\??|(?:смотри|см\.)?\s*(?:фото|картинк[ауе]|скрин))$'), false) AS image_reply,
   count(*) AS posts
@@ -182,12 +202,15 @@ g AS (SELECT c, min(doc_id) AS first_id, count(*) AS copies FROM c WHERE c <> ''
 SELECT doc_id, first_id, copies FROM c JOIN g USING (c)""",
     "thread_urls": r"""SELECT DISTINCT thread_id, lower(nullif(regexp_extract(source_url, '^https?://board\.example/([A-Za-z0-9]+)(?:/res/\d+\.html)?/?$', 1), '')) AS url_board,
   TRY_CAST(nullif(regexp_extract(source_url, '^https?://board\.example/[A-Za-z0-9]+/res/(\d+)\.html/?$', 1), '') AS BIGINT) AS url_thread FROM threads""",
-    "catalog_scan": r"""SELECT code, num, CAST(min(place) AS INT) AS place FROM (
-  SELECT lower(regexp_replace(board, '[\s/]', '', 'g')) AS code, thread_id AS num,
-    row_number() OVER (PARTITION BY lower(regexp_replace(board, '[\s/]', '', 'g')) ORDER BY post_count NULLS FIRST, thread_id) - 1 AS place FROM threads) GROUP BY code, num""",
-    "new_threads": """SELECT DISTINCT thread_id, 'threads' AS missing_in FROM posts WHERE thread_id NOT IN (SELECT thread_id FROM threads)
-UNION ALL SELECT DISTINCT thread_id, 'posts' FROM threads WHERE thread_id NOT IN (SELECT thread_id FROM posts)""",
-    "raw_posts": """SELECT coalesce(len(list_distinct(list_filter(refs, lambda r: regexp_full_match(r, '>>[0-9]+')))), 0)::INT AS "references", count(*) AS posts FROM posts GROUP BY 1""",
+    "catalog_scan": r"""SELECT code, page, num, CAST(min(place) AS INT) AS place FROM (
+  SELECT lower(regexp_replace(board, '[\s/]', '', 'g')) AS code, thread_id // 1000 AS page, thread_id AS num,
+    row_number() OVER (PARTITION BY lower(regexp_replace(board, '[\s/]', '', 'g')), thread_id // 1000 ORDER BY post_count NULLS FIRST, thread_id) - 1 AS place FROM threads) GROUP BY code, page, num""",
+    "new_threads": """SELECT DISTINCT thread_id, 'documents' AS missing_in FROM threads WHERE thread_id NOT IN (SELECT thread_id FROM documents WHERE thread_id IS NOT NULL)
+UNION ALL SELECT DISTINCT thread_id, 'samples' FROM documents WHERE thread_id IS NOT NULL AND thread_id NOT IN (SELECT metadata.thread_id FROM samples WHERE metadata.thread_id IS NOT NULL)""",
+    "raw_posts": """WITH r AS (SELECT coalesce(list_transform(list_filter(refs, lambda r: regexp_full_match(r, '>>[0-9]+')), lambda r: TRY_CAST(substr(r, 3) AS BIGINT)), []) AS r FROM posts)
+SELECT len(list_distinct(r))::INT AS "references", count(*) AS posts, sum(r[1])::BIGINT AS first_references FROM r GROUP BY 1""",
+    "chat_groups": r"""SELECT sample_no, loaded_at, coalesce(metadata.board, 'chatml') AS board, coalesce(metadata.thread_id::VARCHAR,
+  (CAST('0x' || substr(sha256('[' || array_to_string(list_transform(messages, lambda m: '[' || to_json(m.role)::VARCHAR || ', ' || coalesce(to_json(m.content)::VARCHAR, 'null') || ']'), ', ') || ']'), 1, 16) AS UBIGINT))::VARCHAR) AS thread_key FROM samples""",
     "chat_validate": f"WITH {_VALID} SELECT sample_no, loaded_at, valid FROM checked",
     "chat_samples": f"""WITH {_VALID} SELECT sample_no, loaded_at, len(context)::INT AS context_texts, context[len(context)] AS question, response,
   array_to_string(list_transform(context, lambda c, i: CASE WHEN (len(context) - i) % 2 = 0 THEN '<USER>' ELSE '<ASSISTANT>' END), '') AS roles FROM chats""",

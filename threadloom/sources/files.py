@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import html_to_post, references
+from threadloom.functions.text import exact_references, html_to_post, references
 
 _THREAD = (
     "board string, thread_id bigint, posts array<struct<post_id:bigint,text:string,references:array<string>>>"
@@ -40,9 +40,7 @@ def raw_threads(spark: SparkSession, path: str) -> DataFrame:
     parsed = F.from_json("value", _THREAD)
     rows = files.select("path", "malformed", F.when(~F.col("malformed"), parsed).alias("t"))
     exploded = rows.select("path", "malformed", F.col("t.board").alias("board"), F.col("t.thread_id").alias("thread_id"), F.posexplode_outer("t.posts").alias("ord", "p"))
-    exact = F.filter("p.references", lambda r: r.rlike(r"^>>\d+\z"))
-    refs = F.array_distinct(F.transform(exact, lambda r: F.substring(r, 3, 40).try_cast("long")))
-    return exploded.select("path", "malformed", "board", "thread_id", "ord", F.col("p.post_id").alias("post_id"), F.col("p.text").alias("text"), refs.alias("refs"))
+    return exploded.select("path", "malformed", "board", "thread_id", "ord", F.col("p.post_id").alias("post_id"), F.col("p.text").alias("text"), F.when(F.col("p").isNotNull(), exact_references("p.references")).alias("refs"))
 
 
 def catalog_ids(payloads: DataFrame, payload: str = "payload", keys: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable
 from email.utils import parsedate_to_datetime
+from urllib.parse import urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -46,7 +48,8 @@ def fetch(url: str, transport: Transport, retries: int = 2, factor: float = 1.0,
             continue
         if status != 200:
             raise OSError(f"status {status} for {url}")
-        if "json" not in headers.get("Content-Type", "").lower():
+        kind = headers.get("Content-Type")
+        if kind and "json" not in kind.lower():
             raise ValueError(f"no JSON at {url}")
         return body
     raise OSError(f"no answer from {url}")
@@ -64,7 +67,8 @@ def _urllib(url: str) -> tuple[int, dict[str, str], str]:
 
 
 class JsonSource(DataSource):
-    """``spark.read.format("polite_json").option("urls", "a b c")``: (url, payload). Addresses are fetched one after another."""
+    """``spark.read.format("polite_json").option("urls", "a b c")``: (url, payload). One task per host fetches its addresses one after
+    another, with a random pause of ``delay`` to ``most_delay`` seconds (1 to 2.5) between two of them."""
 
     transport: Transport = staticmethod(_urllib)
 
@@ -79,17 +83,26 @@ class JsonSource(DataSource):
         return _Reader(self.options, type(self).transport)
 
 
+class _Host(InputPartition):
+    def __init__(self, urls: list[str]):
+        self.urls = urls
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options, transport):
         self.urls = options["urls"].split()
         self.delay = float(options.get("delay", "1.0"))
+        self.most_delay = max(self.delay, float(options.get("most_delay", options.get("delay", "2.5"))))
         self.transport = transport
 
     def partitions(self):
-        return [InputPartition(0)]
+        hosts: dict[str, list[str]] = {}
+        for url in self.urls:
+            hosts.setdefault(urlsplit(url).netloc.lower(), []).append(url)
+        return [_Host(urls) for urls in hosts.values()]
 
     def read(self, partition):
-        for k, url in enumerate(self.urls):
+        for k, url in enumerate(partition.urls):
             if k:
-                time.sleep(self.delay)
+                time.sleep(random.uniform(self.delay, self.most_delay))
             yield url, fetch(url, self.transport)

@@ -1,14 +1,18 @@
 """Written intermediate tables in the folder that all executors share.
 
 A stage table cuts the lineage of an iterative job and survives the loss of an executor. The folder is the session's
-``spark.checkpoint.dir``; only where that is unset (local tests) a temporary folder is made and set.
+``spark.checkpoint.dir``; only where that is unset and Spark runs in one local process (tests) a temporary folder is made. A lazy
+result may read a table until it has been computed, so tables stay until the process ends, or until the ``scope`` they were
+made in ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +22,13 @@ _OPEN: set[tuple[str, str]] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, or one temporary folder of this process where the session names none."""
+    """The session's checkpoint folder; in local mode without one, a temporary folder of this process. A cluster must name one:
+    its executors don't share the local folders of their machines."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="threadloom-")
     return _OWN["dir"]
@@ -73,10 +80,24 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it; removed when the process ends."""
+    """Write ``df`` to the shared folder and return a frame that reads it; removed with its ``scope`` or when the process ends."""
     return Stage(df, label).df
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables written inside it when it ends. Results must be computed (written, collected) inside it. A long session
+    runs each job in a scope of its own."""
+    before = set(_OPEN)
+    try:
+        yield
+    finally:
+        for made in _OPEN - before:
+            if made[0] == spark.sparkContext.applicationId and "/threadloom-" in made[1]:
+                _delete(spark, made[1])
+                _OPEN.discard(made)
+
+
 @atexit.register
 def _clean() -> None:
     spark = SparkSession.getActiveSession()

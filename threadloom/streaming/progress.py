@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.sinks.files import swap_in
 from threadloom.stages import Stage
 
 _EVENT = "type string, text string, detail string"
@@ -47,7 +48,8 @@ def snapshot_sink(stream: DataFrame, path: str, checkpoint: str, run: str, step:
         except AnalysisException:  # nothing written yet
             known = batch
         newest = Stage(known.groupBy(run).agg(F.max_by(F.struct(*batch.columns), step).alias("r")).select("r.*"), "snapshot")
-        newest.df.write.mode("overwrite").parquet(path)
+        newest.df.write.mode("overwrite").parquet(path + ".part")
+        swap_in(spark, path + ".part", path)
         newest.drop()
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
