@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from threadloom.stages import small_side
 
-#: Seeds of which each source takes the one whose draw comes closest to its target.
-TRIALS = 16
-
 
 @dataclass(frozen=True)
 class Target:
@@ -26,14 +23,16 @@ class Target:
 
 
 def _cdf(mean: float, cap: int) -> list[float]:
-    """P(count <= k) for k below the cap; counts are cut off at the cap."""
+    """P(count <= k) for k below the cap; counts are cut off at the cap. Probabilities are summed from their logarithms."""
     if math.isinf(mean):
         return [0.0] * cap
-    p, run, out = math.exp(-mean), 0.0, []
+    if mean == 0:
+        return [1.0] * cap
+    step, run, out = -mean, 0.0, []
     for k in range(cap):
-        run += p
+        run += math.exp(step)
         out.append(min(1.0, run))
-        p *= mean / (k + 1)
+        step += math.log(mean) - math.log(k + 1)
     return out
 
 
@@ -42,12 +41,14 @@ def poisson_steps(rate: float, cap: int) -> list[float]:
     if rate >= cap * (1 - 1e-12):
         return _cdf(math.inf, cap)
     lo, hi = 0.0, 1.0
-    mean = lambda m: sum(1 - c for c in _cdf(m, cap))
-    while mean(hi) < rate and hi < 600:
+    mean = lambda m: math.fsum(1 - c for c in _cdf(m, cap))
+    while mean(hi) < rate:
         hi *= 2
-    for _ in range(80):
+    while hi - lo > 1e-12 * hi:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if mean(mid) < rate else (lo, mid)
+        if mid in (lo, hi) and (lo + hi) / 2 == mid:
+            break
     return _cdf(hi, cap)
 
 
@@ -68,13 +69,14 @@ def _uniform(seed: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(seed.cast("long"), F.col("doc_id")), 11) * F.lit(2.0**-53)
 
 
-def mix(documents: DataFrame, targets: dict[str, Target], total_tokens: float | None = None, seed: int = 0) -> DataFrame:
+def mix(documents: DataFrame, targets: dict[str, Target], total_tokens: float | None = None, seed: int = 0, trials: int = 1) -> DataFrame:
     """(doc_id, copy_no, source, tokens, mix_key), ordered by ``mix_key``, of documents (doc_id, source, tokens).
 
     ``total_tokens``: the size aimed at, by default the largest at which every source can reach its share; beyond it sources
     stop at their cap. Documents of no tokens, of no source or of a source without target are left out; targets without
     documents get nothing and the others keep their proportions. ``doc_id`` should be unique: equal ids draw equal counts.
-    ``documents`` is read three times and should be a written table. The order is a hash of seed, document and copy.
+    ``documents`` is read twice and should be a written table. With ``trials`` above 1 it is read once more, and each source takes
+    that of so many seeds whose draw comes closest to its aim: shares carry less noise, counts are no longer plain draws. The order is a hash of seed, document and copy.
     """
     spark = documents.sparkSession
     usable = {s: t for s, t in targets.items() if s is not None and t.share and t.share > 0 and t.max_repeats and t.max_repeats > 0}
@@ -87,11 +89,12 @@ def mix(documents: DataFrame, targets: dict[str, Target], total_tokens: float |
     steps = {s: poisson_steps(min(aims[s] / tokens[s], usable[s].max_repeats), usable[s].max_repeats) for s in tokens}
     drawn = lambda u: F.size(F.filter("steps", lambda c: c <= u))
     base = spark.createDataFrame([(s, c, 0) for s, c in steps.items()], schema).drop("seed")
-    # Each source keeps the seed whose draw is closest to its aim.
-    sums = [F.sum(drawn(_uniform(F.lit(seed * 1000 + k))) * F.col("tokens")).alias(f"t{k}") for k in range(TRIALS)]
-    tried = rows.join(small_side(base, len(steps)), "source").groupBy("source").agg(*sums).collect()
-    best = {r["source"]: seed * 1000 + min(range(TRIALS), key=lambda k: abs(r[f"t{k}"] - aims[r["source"]])) for r in tried}
-    chosen = spark.createDataFrame([(s, c, best.get(s, 0)) for s, c in steps.items()], schema)
+    best = {s: seed * 1000 for s in steps}
+    if trials > 1:
+        sums = [F.sum(drawn(_uniform(F.lit(seed * 1000 + k))) * F.col("tokens")).alias(f"t{k}") for k in range(trials)]
+        tried = rows.join(small_side(base, len(steps)), "source").groupBy("source").agg(*sums).collect()
+        best |= {r["source"]: seed * 1000 + min(range(trials), key=lambda k: abs(r[f"t{k}"] - aims[r["source"]])) for r in tried}
+    chosen = spark.createDataFrame([(s, c, best[s]) for s, c in steps.items()], schema)
     copies = rows.join(small_side(chosen, len(steps)), "source").withColumn("copies", drawn(_uniform(F.col("seed"))))
     return (
         copies.filter("copies > 0")
