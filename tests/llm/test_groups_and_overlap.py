@@ -59,7 +59,8 @@ def test_author_and_thread_keys(spark):
 def test_shares(spark):
     sizes = [(0, 3000)] + [(k, k % 3 + 1) for k in range(1, 4000)]
     groups = spark.createDataFrame(sizes, "component long, n long")
-    got = {r["component"]: r["split_name"] for r in splits.assign_splits(groups, {"train": 0.9, "validation": 0.05, "test": 0.05}).collect()}
+    shares = {"train": 0.9, "validation": 0.05, "test": 0.05}
+    got = {r["component"]: r["split_name"] for r in splits.assign_splits(groups, shares, place_above=0.002).collect()}
     assert sorted(got) == [c for c, _ in sizes]
     total = sum(n for _, n in sizes)
     for name, share in (("train", 0.9), ("validation", 0.05), ("test", 0.05)):
@@ -67,6 +68,17 @@ def test_shares(spark):
     assert splits.assign_splits(groups.limit(0), {"train": 1.0}).collect() == []
     with pytest.raises(ValueError):
         splits.assign_splits(groups, {})
+    # hashing alone: one more record moves only groups next to a cut, whatever share a group has
+    hashed = lambda sizes: {r["component"]: r["split_name"] for r in splits.assign_splits(spark.createDataFrame(sizes, "component long, n long"), shares).collect()}
+    before, after = hashed(sizes), hashed([(0, 3000), (1, 17), (2, 19), *sizes[3:]])
+    assert sum(before[k] != after[k] for k in before) < 20 and set(before.values()) == set(shares)
+
+
+def test_more_splits_than_allowed_are_refused(spark):
+    rows = spark.createDataFrame([(str(k), 1.0) for k in range(1002)], "split_name string, split_share double")
+    with pytest.raises(ValueError):
+        splits.bounded(rows, 1000)
+    assert len(splits.bounded(rows, 1002)) == 1002
 
 
 def slow_distance(a, b):

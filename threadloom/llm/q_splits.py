@@ -18,37 +18,43 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.groups_over_threads(_grouped(spark, sf_dir)).select("sample_no", "group_no")
 
 
+#: Groups above this share of the samples are placed one by one: a tenth of them is one group, and shares are to be met as closely
+#: as the groups allow. ``p3_shares`` reports what plain hashing reaches as well.
+PLACE_ABOVE = 0.002
+#: More splits than anybody cuts; a table that names more is refused, never cut short.
+MOST_SPLITS = 1000
+
+
 def _shares(spark: SparkSession, sf_dir: str) -> dict[str, float]:
-    return {r["split_name"]: r["split_share"] for r in spark.read.parquet(f"{sf_dir}/split_shares.parquet").limit(1000).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/split_shares.parquet").select("split_name", "split_share")
+    return {r["split_name"]: r["split_share"] for r in S.bounded(rows, MOST_SPLITS)}
 
 
-def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, float]]:
-    shares = _shares(spark, sf_dir)
+def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sample_no, component) of all samples and (component, n), both written."""
     known = materialize(_grouped(spark, sf_dir).select("sample_no", F.col("group_no").alias("component")), "groups")
-    sizes = materialize(known.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    return known.join(S.assign_splits(sizes, shares), "component"), shares
+    return known, materialize(known.groupBy("component").agg(F.count("*").alias("n")), "sizes")
 
 
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sample with its group and the split that the whole group goes to."""
-    return _assigned(spark, sf_dir)[0].select("sample_no", F.col("component").alias("group_no"), "split_name")
+    known, sizes = _known(spark, sf_dir)
+    assigned = S.assign_splits(sizes, _shares(spark, sf_dir), place_above=PLACE_ABOVE)
+    return known.join(assigned, "component").select("sample_no", F.col("component").alias("group_no"), "split_name")
 
 
 def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples and groups of each split against its target share."""
-    assigned, shares = _assigned(spark, sf_dir)
-    whole = sum(shares.values())
-    targets = spark.createDataFrame([(k, v / whole) for k, v in shares.items()], "split_name string, target_share double")
-    got = assigned.groupBy("split_name", "component").agg(F.count("*").alias("n")).groupBy("split_name").agg(
-        F.sum("n").alias("samples"), F.count("*").alias("groups")
-    )
-    return targets.join(got, "split_name", "left").select(
-        "split_name",
-        F.coalesce("samples", F.lit(0)).alias("samples"),
-        F.coalesce("groups", F.lit(0)).alias("groups"),
-        "target_share",
-        (F.coalesce("samples", F.lit(0)) / F.expr("sum(samples) over ()")).alias("reached_share"),
-    )
+    """Samples and groups of each split against its target share; ``hashed_share`` is what hashing alone reaches."""
+    shares = _shares(spark, sf_dir)
+    _, sizes = _known(spark, sf_dir)
+    whole = sum(v for v in shares.values() if v)
+    targets = spark.createDataFrame([(k, v / whole) for k, v in shares.items() if v], "split_name string, target_share double")
+    total = sizes.agg(F.sum("n")).first()[0] or 1
+    by_split = lambda above: sizes.join(S.assign_splits(sizes, shares, place_above=above), "component").groupBy("split_name")
+    got = by_split(PLACE_ABOVE).agg(F.sum("n").alias("samples"), F.count("*").alias("groups"))
+    hashed = by_split(None).agg(F.sum("n").alias("hashed"))
+    rows = targets.join(got, "split_name", "left").join(hashed, "split_name", "left").fillna(0, ["samples", "groups", "hashed"])
+    return rows.select("split_name", "samples", "groups", "target_share", (F.col("samples") / total).alias("reached_share"), (F.col("hashed") / total).alias("hashed_share"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares}

@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import stripped
 from threadloom.llm.records import newest_samples
+from threadloom.operators.joins import lookup
 from threadloom.stages import Stage
 
 #: Hash places are 0 .. PLACES * PLACES - 1; cuts are found in two passes of at most PLACES sums each.
 PLACES = 4096
-#: Groups above this share of all records are placed one by one, so that there are fewer than 1 / LARGE of them.
-LARGE = 0.002
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -75,7 +74,7 @@ def related_groups(records: DataFrame) -> DataFrame:
     return star_components(links).select(F.col("node").alias("record"), "component")
 
 
-def _bounded(df: DataFrame, rows: int) -> list:
+def bounded(df: DataFrame, rows: int) -> list:
     """Rows of a frame that is small by construction; more than ``rows`` of them is an error, not a cut."""
     got = df.limit(rows + 1).collect()
     if len(got) > rows:
@@ -83,14 +82,16 @@ def _bounded(df: DataFrame, rows: int) -> list:
     return got
 
 
-def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
+def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0, place_above: float | None = None) -> DataFrame:
     """(component, split_name) for ``groups`` (component, n records).
 
-    Groups above ``LARGE`` of all records (fewer than 1 / LARGE) go, the largest first, to the split that lacks most of its
-    share. All others are hashed to a place, and the places are cut into one range per split so that every split gets what
-    it still lacks; the cut is found by summing records per place, coarse places first, then the places of the one coarse
-    place that each cut falls into. Every group has exactly one split, the same at every run. Splits with no share get
-    nothing. No groups: an empty result.
+    Groups are hashed to a place, and the places are cut into one range per split so that every split gets its share of the
+    records; the cut is found by summing records per place, coarse places first, then the places of the one coarse place that
+    each cut falls into. A group far above the mean lands in a small split as often as its range is wide and then fills it.
+    ``place_above`` is for that case: groups above this share of all records (fewer than 1 / place_above) go, the largest first,
+    to the split that lacks most of its share, and only the rest is hashed; then a group that grows past that share may change
+    its split. Every group has exactly one split, the same at every run. Splits with no share get nothing. No groups: an empty
+    result.
     """
     names = sorted(k for k, v in shares.items() if k is not None and v and v > 0)
     if not names:
@@ -98,7 +99,8 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) ->
     whole = sum(shares[k] for k in names)
     total = groups.agg(F.sum("n")).first()[0] or 0
     lacks = {k: total * shares[k] / whole for k in names}
-    big = _bounded(groups.filter(F.col("n") > LARGE * total).orderBy(F.desc("n"), "component"), int(1 / LARGE) + 1)
+    bound = None if place_above is None else place_above * total
+    big = [] if bound is None else bounded(groups.filter(F.col("n") > bound).orderBy(F.desc("n"), "component"), int(1 / place_above) + 1)
     placed = []
     for row in big:
         to = max(names, key=lambda k: (lacks[k], k))
@@ -106,8 +108,8 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) ->
         placed.append((row["component"], to))
     spark = groups.sparkSession
     hashed = F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(PLACES * PLACES)).cast("int")
-    small = groups.filter(F.col("n") <= LARGE * total).withColumn("place", hashed)
-    coarse = dict(_bounded(small.groupBy(F.expr(f"place div {PLACES}").alias("c")).agg(F.sum("n")), PLACES))
+    small = (groups if bound is None else groups.filter(F.col("n") <= bound)).withColumn("place", hashed)
+    coarse = dict(bounded(small.groupBy(F.expr(f"place div {PLACES}").alias("c")).agg(F.sum("n")), PLACES))
     rest = sum(coarse.values())
     wants = {k: max(0.0, v) for k, v in lacks.items()}
     scale = rest / (sum(wants.values()) or 1)
@@ -127,7 +129,7 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) ->
     fine: dict[int, list[tuple[int, int]]] = {}
     if need:
         rows = small.filter(F.expr(f"place div {PLACES}").isin(need)).groupBy("place").agg(F.sum("n").alias("n"))
-        for row in _bounded(rows, PLACES * len(need)):
+        for row in bounded(rows, PLACES * len(need)):
             fine.setdefault(row["place"] // PLACES, []).append((row["place"], row["n"]))
     cuts = []
     for target, (c, before) in zip(targets, into):
@@ -171,7 +173,7 @@ def sample_entities(samples: DataFrame, posts: DataFrame) -> DataFrame:
         .groupBy("post_id")
         .agg(F.max(F.struct("fetched_at", "thread_id"))["thread_id"].alias("post_thread"))
     )
-    return one.join(found, "post_id", "left").select("sample_no", F.coalesce("thread_id", "post_thread").alias("thread_id"), "author")
+    return lookup(one, found, "post_id", "sample_no").select("sample_no", F.coalesce("thread_id", "post_thread").alias("thread_id"), "author")
 
 
 def grouped_samples(samples: DataFrame, posts: DataFrame) -> DataFrame:
