@@ -11,6 +11,7 @@ from threadloom.llm import mixing, packing
 from threadloom.llm.languages import declared_code, detect
 from threadloom.llm.records import board_code, newest_samples
 from threadloom.llm.tokens import TOKENIZER, with_token_counts
+from threadloom.operators.joins import lookup
 from threadloom.stages import materialize
 
 
@@ -33,7 +34,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("metadata.board").alias("own_board"),
         declared_code("metadata.lang").alias("declared"),
         contents.alias("texts"),
-    ).join(thread_board, "thread_id", "left")
+    )
+    samples = lookup(samples, thread_board, "thread_id", "sample_no")
     board = board_code(F.coalesce("thread_board", "own_board"))
     s = samples.select(F.lit("samples").alias("record_table"), F.col("sample_no").alias("record_id"), board.alias("source"), board.alias("board"), "declared", "texts")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
