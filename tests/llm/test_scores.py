@@ -121,10 +121,10 @@ def test_spam_pages(spark):
     kinds = [pick.choice(["prose"] * 3 + ["keywords", "links", "tags", "goods"]) for _ in range(400)]
     rows = [(k, pick.choice(["a", "b", None]), page(pick, kind)) for k, kind in enumerate(kinds)] + [(1000, "a", None), (1001, None, "  "), (1002, "a", page(pick, "keywords") * 200)]
     measured = spam.measured(spark.createDataFrame(rows, "doc_id long, host string, text string")).cache()
-    got = {r["doc_id"]: r["score"] for r in spam.scored(measured).collect()}
+    got = {r["doc_id"]: r["score"] for r in spam.smoothed(spam.tree_scored(measured).cache()).collect()}
     assert len(got) == len(rows) and got[1000] == got[1001] == 0.0 and got[1002] > 0.5
     assert np.mean([(got[k] > 0.5) == (kind != "prose") for k, kind in enumerate(kinds)]) > 0.98
-    assert spam.scored(measured.limit(0)).collect() == []
+    assert spam.smoothed(spam.tree_scored(measured.limit(0))).collect() == []
 
 
 @pytest.mark.parametrize("text", [
@@ -179,5 +179,20 @@ def test_share_of_spam_is_kept_by_the_sample(spark):
     rows = spark.createDataFrame(of(0, 2000, 0) + of(2000, 200, 1), "doc_id long, host string, x array<double>, weak int").cache()
     unsure = {r["doc_id"] for r in rows.filter("x[0] = 0.5").collect()}
     for fit_pages in (100, 5000):
-        got = [r["tree_score"] for r in spam.scored(rows, fit_pages).collect() if r["doc_id"] in unsure]
+        got = [r["tree_score"] for r in spam.tree_scored(rows, fit_pages).collect() if r["doc_id"] in unsure]
         assert 0.03 < np.mean(got) < 0.2
+
+
+def test_pages_of_one_kind_and_of_none(spark):
+    schema = "doc_id long, host string, x array<double>, weak int"
+    rows = lambda weak: spark.createDataFrame([(k, None, [0.1 * k, 1.0], weak) for k in range(20)] + [(99, "a", None, None)], schema)
+    for weak, want in ((0, 0.0), (1, 1.0), (None, None)):
+        got = {r["doc_id"]: r for r in spam.smoothed(spam.tree_scored(rows(weak))).collect()}
+        assert len(got) == 21 and got[99]["score"] == 0.0 and got[3]["tree_score"] == want
+        assert got[3]["score"] is None if want is None else abs(got[3]["score"] - want) < 0.05
+
+
+def test_a_host_moves_the_pages_that_the_trees_call_clean(spark):
+    said = spark.createDataFrame([(k, "bad", 1.0 if k < 90 else 0.0, True) for k in range(100)] + [(k, "good", 0.0, True) for k in range(100, 1000)], "doc_id long, host string, tree_score double, read boolean")
+    got = {r["doc_id"]: r["score"] for r in spam.smoothed(said).collect()}
+    assert got[95] > got[500] > 0.0 and got[95] < 0.5

@@ -11,7 +11,7 @@ from threadloom.stages import materialize
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("host"), "text")
-    return spam.scored(materialize(spam.measured(pages), "pages"))
+    return spam.smoothed(materialize(spam.tree_scored(materialize(spam.measured(pages), "pages")), "scores"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,13 +260,12 @@ def measured(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "host", "text").mapInArrow(_measure, "doc_id long, host string, x array<double>, weak int")
 
 
-def scored(rows: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
-    """(doc_id, host, tree_score, score) of rows of ``measured``, which should be a written table.
+def tree_scored(rows: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
+    """(doc_id, host, tree_score) of rows of ``measured``, which should be a written table: the trees' share of spam.
 
-    ``tree_score`` is the trees' share, ``score`` the share after the host's spam rate is added to the log-odds. Pages without
-    words score 0. Null hosts are a host of their own. Where no page of one kind can be labelled, the weak labels alone
-    decide: 1 for spam beyond doubt, else 0. Repeated rows are scored like any others. In the fit a page stands for all those
-    of its kind, so that the share of spam fitted to is that of all labelled pages, whatever ``fit_pages`` leaves out.
+    In the fit a page stands for all those of its kind, so that the share of spam fitted to is that of all labelled pages, whatever
+    ``fit_pages`` leaves out. Where all labelled pages are of one kind the trees say that kind for every page; where no page can be
+    labelled nothing can be said, and every page with words has a null score. Pages without words score 0.
     """
     sample, weights = [], []
     labelled = {r["weak"]: r["count"] for r in rows.filter("weak is not null").groupBy("weak").count().collect()}  # two rows at most
@@ -275,24 +274,35 @@ def scored(rows: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
         sample += chosen
         weights += [labelled[kind] / len(chosen)] * len(chosen) if chosen else []
     x, y = np.array([r["x"] for r in sample]), np.array([r["weak"] for r in sample])
-    trees = fit(x, y, weights=np.array(weights)) if len(set(y.tolist())) == 2 else None
+    trees = fit(x, y, weights=np.array(weights)) if sample else None
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given, weak = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            given = batch.column(2).to_pylist()
             at = [i for i, v in enumerate(given) if v is not None]
-            out = np.zeros(len(given))
-            if at:
-                out[at] = predict(trees, np.array([given[i] for i in at])) if trees else [float(weak[i] or 0) for i in at]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["doc_id", "host", "tree_score"])
+            out: list[float | None] = [0.0] * len(given)
+            said = predict(trees, np.array([given[i] for i in at])) if trees and at else [None] * len(at)
+            for i, score in zip(at, said):
+                out[i] = score
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([v is not None for v in given])], names=["doc_id", "host", "tree_score", "read"])
 
-    trees_said = rows.select("doc_id", "host", "x", "weak").mapInArrow(apply, "doc_id long, host string, tree_score double")
+    return rows.select("doc_id", "host", "x").mapInArrow(apply, "doc_id long, host string, tree_score double, read boolean")
+
+
+def smoothed(said: DataFrame) -> DataFrame:
+    """(doc_id, host, tree_score, score) of rows of ``tree_scored``, which should be a written table.
+
+    ``score`` is the trees' share after the spam rate of the page's host, against that of all pages, is added to the log-odds. Null
+    hosts are a host of their own. Pages without words score 0, pages of which the trees say nothing have no score. Repeated rows
+    are scored like any others.
+    """
     host = F.coalesce("host", F.lit("\0"))
-    rates = trees_said.groupBy(host.alias("hk")).agg(F.sum("tree_score").alias("s"), F.count("*").alias("n"))
-    overall = F.expr("sum(s) over ()") / F.expr("sum(n) over ()")
-    rates = rates.select("hk", ((F.col("s") + HOST_PRIOR * overall) / (F.col("n") + HOST_PRIOR)).alias("rate"), overall.alias("all"))
+    whole = said.agg(F.avg("tree_score").alias("rate")).first()["rate"]
+    overall = F.lit(whole if whole is not None else 0.0)
+    rates = said.groupBy(host.alias("hk")).agg(F.sum("tree_score").alias("s"), F.count("tree_score").alias("n"))
+    rates = rates.select("hk", ((F.coalesce("s", F.lit(0.0)) + HOST_PRIOR * overall) / (F.col("n") + HOST_PRIOR)).alias("rate"))
     logit = lambda p: F.log((p + 0.005) / (1.005 - p))
-    odds = logit(F.col("tree_score")) + HOST_WEIGHT * (logit(F.col("rate")) - logit(F.col("all")))
-    return trees_said.join(rates, host == F.col("hk")).select(
-        "doc_id", "host", "tree_score", F.when(F.col("tree_score") > 0, 1 / (1 + F.exp(-odds))).otherwise(F.lit(0.0)).alias("score")
+    odds = logit(F.col("tree_score")) + HOST_WEIGHT * (logit(F.col("rate")) - logit(overall))
+    return said.join(rates, host == F.col("hk")).select(
+        "doc_id", "host", "tree_score", F.when(F.col("read"), 1 / (1 + F.exp(-odds))).otherwise(F.lit(0.0)).alias("score")
     )
