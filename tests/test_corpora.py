@@ -30,16 +30,12 @@ def test_thread_drafts(spark):
         (11, 0): None, (12, 0): None, (13, 0): "missing_reliable_parent", (14, 0): "missing_reliable_parent", (15, 0): "empty_after_cleaning", (16, 0): "image_dependent",
         (17, 0): "missing_context", (18, 0): None, (18, 1): None,
     }
-    assert [c["post_id"] for c in got[12, 0]["context"]] == [10, 11] and got[12, 0]["response"] == "Second answer"
+    assert got[12, 0]["context_post_ids"] == [10, 11] and got[12, 0]["response"] == "Second answer"
     assert got[13, 0]["fallback_prevented"] and not got[14, 0]["fallback_prevented"]
     assert got[18, 0]["split_from_multi_reference"] and got[18, 1]["response"] == "to the second"
-    assert [c["post_id"] for c in got[18, 0]["context"]] == [10] and got[18, 0]["referenced_post_ids"] == [10]
-
-
-def test_split_answers():
-    assert graph._split(">>1 a\nb\n>>2\nc", [1, 2]) == [(1, "a\nb"), (2, "c")]
-    for text, parents in ((">>1 a", [1]), ("x\n>>1 a\n>>2 b", [1, 2]), (">>1 >>2 a", [1, 2]), (">>1 a\n>>3 b", [1, 2]), (">>1\n>>2 b", [1, 2]), (None, [1, 2]), (">>1 a", None)):
-        assert graph._split(text, parents) is None
+    assert got[18, 0]["context_post_ids"] == [10] and got[18, 0]["referenced_post_ids"] == [10]
+    told = {(r["post_id"], r["draft"]): r["context"] for r in graph.with_context_texts(graph.thread_drafts(posts(spark, rows)), posts(spark, rows)).collect()}
+    assert told[12, 0] == [(10, "The opening question of the thread"), (11, "First answer to it")] and told[13, 0] is None and len(told) == len(got)
 
 
 def greedy(texts, least=80, similarity=0.9, anchors=4, size=3):

@@ -156,20 +156,32 @@ def lines_of(text: Column) -> Column:
     return F.split(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]")
 
 
-def without_quotes(response: Column, contexts: Column) -> Column:
-    """``response`` without lines that repeat a line of at least 12 characters of the texts in ``contexts``.
+#: Fixed value: characters from which on a line counts as quoted where it is repeated.
+QUOTE_CHARACTERS = 12
+
+
+def quotable_lines(text: Column | str) -> Column:
+    """Hashes of the lines of a text that an answer may quote: of 12 characters or more, without blanks around them and case. Null
+    texts have none."""
+    column = F.col(text) if isinstance(text, str) else text
+    long_lines = F.filter(lines_of(column), lambda s: F.length(stripped(s)) >= QUOTE_CHARACTERS)
+    return F.coalesce(F.array_distinct(F.transform(long_lines, lambda s: F.xxhash64(_line_form(s, False)))), F.array().cast("array<bigint>"))
 
-    Comparison ignores leading ``>`` and blanks, the width of blanks and case.
-    """
-    told = F.flatten(F.transform(F.filter(contexts, lambda t: t.isNotNull()), lines_of))
-    told = F.transform(F.filter(told, lambda s: F.length(stripped(s)) >= 12), lambda s: _line_form(s, False))
-    told = F.coalesce(told, F.array().cast("array<string>"))
+
+def without_lines(response: Column, told: Column) -> Column:
+    """``response`` without its lines of at least 12 characters whose hash is among ``told``; leading ``>`` and blanks, the width of
+    blanks and case don't count."""
 
     def unquoted(known: Column) -> Column:
-        repeats = lambda s: bind(_line_form(s, True), lambda form: (F.length(form) >= 12) & F.array_contains(known, form))
+        repeats = lambda s: bind(_line_form(s, True), lambda form: (F.length(form) >= QUOTE_CHARACTERS) & F.array_contains(known, F.xxhash64(form)))
         return stripped(F.array_join(F.filter(lines_of(response), lambda s: ~repeats(s)), "\n"))
 
-    return bind(told, unquoted)
+    return bind(F.coalesce(told, F.array().cast("array<bigint>")), unquoted)
+
+
+def without_quotes(response: Column, contexts: Column) -> Column:
+    """``response`` without lines that repeat a line of the texts in ``contexts`` (``quotable_lines``, ``without_lines``)."""
+    return without_lines(response, F.flatten(F.transform(contexts, quotable_lines)))
 
 
 @F.pandas_udf(T.StringType())

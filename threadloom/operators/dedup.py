@@ -1,8 +1,8 @@
 """Exact and near duplicates in stream order.
 
 A text is compared with the texts kept before it, so the outcome depends on the order and is no equivalence. Copies of one
-text share their fate, so each distinct text is judged once, at its first place. Candidates share one of a text's smallest
-shingle hashes; among verified pairs, a text is dropped if an earlier kept text is like it and kept if all earlier texts
+text share their fate, so each distinct text is judged once, at its first place. Pairs share one of a text's smallest
+shingle hashes and are met at their rarest shingles; among verified pairs, a text is dropped if an earlier kept text is like it and kept if all earlier texts
 like it are dropped, in rounds until all are judged.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import bind, canonical, jaccard, shingles
@@ -28,22 +28,32 @@ def distinct_texts(rows: DataFrame, text: str, order: str, exact: bool = True, m
 
 
 def similar_pairs(texts: DataFrame, similarity: float = SIMILARITY, hashing: str = "xxhash", anchors: int = ANCHORS) -> DataFrame:
-    """(later, earlier, similarity) of distinct texts that share an anchor and are alike; lengths are compared first.
+    """(later, earlier, similarity) of distinct texts that are alike and share one of their ``anchors`` smallest shingle hashes; with
+    ``anchors`` 0, of all that are alike.
 
-    ``anchors`` 0 blocks on every shingle instead, which finds all pairs. Texts that equal each other were joined before; classes of
-    length are part of the key, so that an anchor of very many texts only pairs those that their lengths allow.
+    Two sets alike by s share one of the rarest (1 - s) n + 1 shingles of either, so candidates meet there: a shingle of very many
+    texts is only met by texts that hold hardly any other. Lengths that a match allows are in the same or in neighbouring classes,
+    which are part of the key; then lengths, sets and anchors are compared.
     """
     grams = materialize(texts.select("key", "place", F.length("canonical").alias("n"), shingles(F.col("canonical"), SHINGLE, hashing).alias("s")), "shingles")
-    block = F.slice(F.array_sort("s"), 1, anchors) if anchors else F.col("s")
-    each = grams.select("key", "place", "n", F.explode(block).alias("anchor"))
-    # lengths that differ by less than the similarity allows are in the same or in neighbouring classes
+    each = grams.select("key", "place", "n", F.size("s").alias("m"), F.explode("s").alias("gram"))
+    held = each.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")  # a shingle of one text meets nothing
+    shared = each.join(held, "gram")
+    by = Window.partitionBy("key").orderBy("df", "gram")
+    # shingles of one text are the rarest, so as many places are taken before the first shared one
+    at = F.col("m") - F.count("*").over(Window.partitionBy("key")) + F.row_number().over(by)
+    most = F.col("m") - F.ceil(similarity * F.col("m") - 1e-9) + 1
+    rare = materialize(shared.withColumns({"at": at, "most": most}).filter("at <= most").select("key", "place", "n", "gram"), "rare")
     length = F.floor(F.log("n") / -math.log(min(similarity, 0.99)) + 1e-9).cast("int")
-    a = each.select("anchor", length.alias("len"), F.col("key").alias("later"), F.col("place").alias("pa"), F.col("n").alias("na"))
-    b = each.select("anchor", F.explode(F.array(length - 1, length, length + 1)).alias("len"), F.col("key").alias("earlier"), F.col("place").alias("pb"), F.col("n").alias("nb"))
+    a = rare.select("gram", length.alias("len"), F.col("key").alias("later"), F.col("place").alias("pa"), F.col("n").alias("na"))
+    b = rare.select("gram", F.explode(F.array(length - 1, length, length + 1)).alias("len"), F.col("key").alias("earlier"), F.col("place").alias("pb"), F.col("n").alias("nb"))
     near = (F.col("pb") < F.col("pa")) & (F.least("na", "nb") / F.greatest("na", "nb") >= similarity)
-    pairs = a.join(b, ["anchor", "len"]).filter(near).select("later", "earlier").distinct()
+    pairs = a.join(b, ["gram", "len"]).filter(near).select("later", "earlier").distinct()
     sides = grams.select("key", "s")
     judged = pairs.join(sides.withColumnsRenamed({"key": "later", "s": "sa"}), "later").join(sides.withColumnsRenamed({"key": "earlier", "s": "sb"}), "earlier")
+    if anchors:
+        smallest = lambda s: F.slice(F.array_sort(s), 1, anchors)
+        judged = judged.filter(F.arrays_overlap(smallest("sa"), smallest("sb")))
     return judged.select("later", "earlier", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= similarity)
 
 

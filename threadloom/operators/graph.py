@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import SPACE, bind, clean_text, exact_references, is_image_reply, is_meaningful, lines_of, stripped, without_quotes
+from threadloom.functions.text import SPACE, bind, clean_text, exact_references, is_image_reply, is_meaningful, lines_of, quotable_lines, stripped, without_lines, without_quotes
 from threadloom.operators.hierarchy import newest_posts
 from threadloom.stages import Stage, materialize
 
@@ -35,17 +35,15 @@ def ancestor_closure(edges: DataFrame) -> DataFrame:
     each round, so that diamonds don't multiply them.
     """
     first = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
-    within, exactly = Stage(first, "closure"), Stage(first, "steps")
-    while not exactly.df.isEmpty():
-        away = exactly.df.select("node", F.col("ancestor").alias("via"))
-        beyond = within.df.select(F.col("node").alias("via"), "ancestor")
-        more = Stage(within.df.unionByName(away.join(beyond, "via").select("node", "ancestor")).distinct(), "closure")
-        further = exactly.df.select(F.col("node").alias("via"), "ancestor")
-        steps = Stage(away.join(further, "via").select("node", "ancestor").distinct(), "steps")
-        within.drop()
-        exactly.drop()
-        within, exactly = more, steps
-    return within.df
+    known = Stage(first.withColumn("last", F.lit(True)), "closure")  # ``last``: found in exactly as many steps as were taken
+    while not known.df.filter("last").isEmpty():
+        away = known.df.filter("last").select("node", F.col("ancestor").alias("via"))
+        beyond = known.df.select(F.col("node").alias("via"), "ancestor", "last")
+        grown = known.df.withColumn("last", F.lit(False)).unionByName(away.join(beyond, "via").drop("via"))
+        more = Stage(grown.groupBy("node", "ancestor").agg(F.max("last").alias("last")), "closure")
+        known.drop()
+        known = more
+    return known.df.drop("last")
 
 
 def split_answer(text: Column | str, parents: Column | str) -> Column:
@@ -81,12 +79,15 @@ def validity(cleaned: Column) -> Column:
 
 
 def thread_drafts(posts: DataFrame) -> DataFrame:
-    """Every answer of every thread with its context, or the reason why it is none.
+    """Every answer of every thread with the posts of its context, or the reason why it is none.
 
-    Columns: thread_id, board, source_path, post_id, ord, draft (from 0), drop_reason, referenced_post_ids, context (post_id,
-    text; in thread order), response, multi_reference, split_from_multi_reference, fallback_prevented. Reasons, first hit:
-    of the post ``empty_after_cleaning``, ``image_dependent``, ``missing_reliable_parent``; of a draft ``missing_context`` and
-    then the first two again, once quotes of the context are taken out. Duplicates are left to ``dedup.classify``.
+    Columns: thread_id, board, source_path, post_id, ord, draft (from 0), drop_reason, referenced_post_ids, context_post_ids (in
+    thread order), response, multi_reference, split_from_multi_reference, fallback_prevented. Reasons, first hit: of the post
+    ``empty_after_cleaning``, ``image_dependent``, ``missing_reliable_parent``; of a draft ``missing_context`` and then the first
+    two again, once quotes of the context are taken out. Duplicates are left to ``dedup.classify``.
+
+    Of a context only numbers travel: the posts' ids, places and hashes of the lines that an answer may quote. Its texts are for
+    ``with_context_texts``, once duplicates are gone.
     """
     judged = bind(clean_text("text"), lambda c: F.struct(c.alias("cleaned"), validity(c).alias("reason")))
     t = thread_posts(posts).withColumn("j", judged)
@@ -99,51 +100,63 @@ def thread_drafts(posts: DataFrame) -> DataFrame:
     heads = t.groupBy("thread_id").agg(F.min(F.struct("ord", "post_id", "reason", "cleaned")).alias("root"), F.count("*").alias("size"))
     answers = t.join(heads.filter("size > 1"), "thread_id").filter(F.col("post_id") != F.col("root.post_id")).join(parents, "post_id", "left")
     body = answers.withColumn("parents", F.coalesce("parents", F.array().cast("array<bigint>")))
-    without_quote = without_quotes(F.col("cleaned"), F.array("root.cleaned"))
     prevented = (
         F.col("reason").isNull() & (F.size("parents") == 0) & (F.size("refs") == 0) & F.col("root.reason").isNull()
-        & bind(without_quote, lambda t: is_meaningful(t) & ~is_image_reply(t))
+        & bind(without_quotes(F.col("cleaned"), F.array("root.cleaned")), lambda t: is_meaningful(t) & ~is_image_reply(t))
     )
     body = body.select(
-        "thread_id", "board", "source_path", "post_id", "ord", "text", "parents", prevented.alias("fallback_prevented"),
+        "thread_id", "board", "source_path", "post_id", "ord", "text", "cleaned", "parents", prevented.alias("fallback_prevented"),
         F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.size("parents") == 0, "missing_reliable_parent").alias("reason"),
     )
-    many = body.filter("reason is null and size(parents) > 1").withColumn("parts", split_answer("text", "parents"))
-    one = body.filter("reason is null and size(parents) = 1").withColumn("parts", F.lit(None).cast("array<struct<parent:bigint,text:string>>"))
-    whole = F.array(F.struct(F.col("parents").alias("to"), F.col("text").alias("raw"), F.lit(False).alias("split")))
-    each = F.transform("parts", lambda x: F.struct(F.array(x["parent"]).alias("to"), x["text"].alias("raw"), F.lit(True).alias("split")))
-    drafts = many.unionByName(one).select("*", F.posexplode(F.coalesce(each, whole)).alias("draft", "d"))
-    drafts = materialize(drafts.select("thread_id", "board", "source_path", "post_id", "ord", "draft", "parents", "fallback_prevented", "d.*", clean_text("d.raw").alias("clean")), "drafts")
-    usable = t.filter("reason is null").select(F.col("post_id").alias("ancestor"), F.col("ord").alias("at"), F.col("cleaned").alias("said"))
+    body = materialize(body, "answers")
+    open_ = body.filter("reason is null")
+    whole = open_.select("*", F.lit(0).alias("draft"), F.col("parents").alias("to"), F.col("cleaned").alias("clean"), F.lit(False).alias("split"))
+    many = open_.filter("size(parents) > 1").withColumn("parts", split_answer("text", "parents"))
+    cut = many.filter("parts is not null").select("*", F.posexplode("parts").alias("draft", "d"))
+    cut = cut.select(*body.columns, "draft", F.array("d.parent").alias("to"), clean_text("d.text").alias("clean"), F.lit(True).alias("split"))
+    uncut = whole.filter("size(parents) = 1").unionByName(
+        many.filter("parts is null").select(*body.columns, F.lit(0).alias("draft"), F.col("parents").alias("to"), F.col("cleaned").alias("clean"), F.lit(False).alias("split"))
+    )
+    drafts = materialize(uncut.unionByName(cut).drop("text", "cleaned", "reason"), "drafts")
+    usable = t.filter("reason is null").select(F.col("post_id").alias("ancestor"), F.col("ord").alias("at"), quotable_lines("cleaned").alias("lines"))
     to = drafts.select("post_id", "draft", F.explode("to").alias("parent"))
-    lacking = to.join(usable.select(F.col("ancestor").alias("parent")), "parent", "left_anti").select("post_id", "draft").distinct().withColumn("lacks", F.lit(True))
-    closure = ancestor_closure(edges)
-    reach = to.select("post_id", "draft", F.col("parent").alias("ancestor")).unionByName(
-        to.join(closure.withColumnRenamed("node", "parent"), "parent").select("post_id", "draft", "ancestor")
-    ).distinct()
-    context = reach.join(usable, "ancestor").groupBy("post_id", "draft").agg(  # bounded by the depth of one reply chain
-        F.sort_array(F.collect_list(F.struct("at", F.col("ancestor").alias("post_id"), F.col("said").alias("text")))).alias("c")
+    named = to.select("post_id", "draft", F.col("parent").alias("ancestor"), F.lit(True).alias("direct"))
+    beyond = to.join(ancestor_closure(edges).withColumnRenamed("node", "parent"), "parent").select("post_id", "draft", "ancestor", F.lit(False).alias("direct"))
+    reach = named.unionByName(beyond).groupBy("post_id", "draft", "ancestor").agg(F.max("direct").alias("direct"))
+    known = reach.join(usable, "ancestor", "left")
+    context = known.groupBy("post_id", "draft").agg(  # bounded by the depth of one reply chain
+        F.max(F.col("direct") & F.col("at").isNull()).alias("lacks"),
+        F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "ancestor")))).alias("c"),
+        F.array_distinct(F.flatten(F.collect_list("lines"))).alias("told"),
     )
-    ready = drafts.join(lacking, ["post_id", "draft"], "left").join(context, ["post_id", "draft"], "left")
-    ready = ready.withColumn("context", F.transform("c", lambda x: F.struct(x["post_id"].alias("post_id"), x["text"].alias("text"))))
-    answer = bind(without_quotes(F.col("clean"), F.transform("context", lambda x: x["text"])), lambda r: F.struct(r.alias("response"), validity(r).alias("unusable")))
+    ready = drafts.join(context, ["post_id", "draft"], "left")
+    answer = bind(without_lines(F.col("clean"), F.col("told")), lambda r: F.struct(r.alias("response"), validity(r).alias("unusable")))
     ready = ready.withColumn("a", answer).select("*", "a.*")
     done = ready.select(
         "thread_id", "board", "source_path", "post_id", "ord", "draft",
-        F.when(F.col("lacks") | F.col("context").isNull(), "missing_context").otherwise(F.col("unusable")).alias("drop_reason"),
-        F.col("to").alias("referenced_post_ids"), "context", "response", (F.size("parents") > 1).alias("multi_reference"),
-        F.col("split").alias("split_from_multi_reference"), "fallback_prevented",
+        F.when(F.coalesce("lacks", F.lit(False)) | (F.coalesce(F.size("c"), F.lit(0)) < 1), "missing_context").otherwise(F.col("unusable")).alias("drop_reason"),
+        F.col("to").alias("referenced_post_ids"), F.transform("c", lambda x: x["ancestor"]).alias("context_post_ids"), "response",
+        (F.size("parents") > 1).alias("multi_reference"), F.col("split").alias("split_from_multi_reference"), "fallback_prevented",
     )
     fields = dict(done.dtypes)
     none = lambda c: F.lit(None).cast(fields[c]).alias(c)
     dropped = body.filter("reason is not null").select(
         "thread_id", "board", "source_path", "post_id", "ord", F.lit(0).alias("draft"), F.col("reason").alias("drop_reason"),
-        F.col("parents").alias("referenced_post_ids"), none("context"), none("response"), (F.size("parents") > 1).alias("multi_reference"),
+        F.col("parents").alias("referenced_post_ids"), none("context_post_ids"), none("response"), (F.size("parents") > 1).alias("multi_reference"),
         F.lit(False).alias("split_from_multi_reference"), "fallback_prevented",
     )
     return done.unionByName(dropped)
 
 
+def with_context_texts(drafts: DataFrame, posts: DataFrame) -> DataFrame:
+    """``drafts`` with ``context``: (post_id, text) of its ``context_post_ids``, cleaned, in their order; null where there are none."""
+    texts = newest_posts(posts, "text").select(F.col("post_id").alias("_id"), clean_text("text").alias("_text"))
+    each = drafts.filter("size(context_post_ids) > 0").select("post_id", "draft", F.posexplode("context_post_ids").alias("_at", "_id"))
+    told = each.join(texts, "_id").groupBy("post_id", "draft").agg(F.sort_array(F.collect_list(F.struct("_at", F.col("_id").alias("post_id"), F.col("_text").alias("text")))).alias("_c"))
+    joined = drafts.join(told, ["post_id", "draft"], "left")
+    return joined.select(*drafts.columns, F.transform("_c", lambda x: F.struct(x["post_id"].alias("post_id"), x["text"].alias("text"))).alias("context"))
+
+
 def first_posts(threads: DataFrame) -> DataFrame:
     """Posts ranked in their thread, by place."""
     return threads.withColumn("rank", F.row_number().over(Window.partitionBy("thread_id").orderBy("ord", "post_id")))

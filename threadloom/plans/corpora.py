@@ -50,7 +50,7 @@ def thread_samples(spark, sf_dir):
     kept = judged.withColumn("drop_reason", reason).drop("status", "place")
     return kept.unionByName(drafts.filter("drop_reason is not null")).select(
         "thread_id", "post_id", "draft", "drop_reason", F.array_join("referenced_post_ids", ",").alias("parents"),
-        F.coalesce(F.size("context"), F.lit(0)).alias("context_depth"), "response", "multi_reference", "split_from_multi_reference",
+        F.coalesce(F.size("context_post_ids"), F.lit(0)).alias("context_depth"), "response", "multi_reference", "split_from_multi_reference",
     )
 
 
