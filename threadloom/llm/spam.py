@@ -61,7 +61,7 @@ RECORD = re.compile(
     re.I,
 )
 HREF = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\s\"'>]+)[^>]*>(.*?)</a>", re.I | re.S)
-ENTRY = re.compile(r"\n+|(?<=[.!?…])\s+|\s*[|;·•»]\s*|\s+/\s+")
+ENTRY = re.compile(r"\n|(?<=[.!?…])\s|[|;·•»]|(?<=\s)/(?=\s)")
 MONEY = re.compile(r"\d\s*(?:руб|грн|eur\b|usd\b|euros?\b|€|\$|£|₽|₴|bucks)|[€$£]\s*\d", re.I)
 GLUED = re.compile(r"[a-zß-öø-ÿа-џґ][A-ZÀ-ÖØ-ÞЀ-ЯҐ]")
 FUNCTION = {w for words in WORDS.values() for w in words.split()} | set(
@@ -123,14 +123,14 @@ def page_features(text: str) -> list[float] | None:
         if not ws:
             continue
         entries += 1
-        kinds = [_kind(w) for w in ws]
+        kinds = list(map(_kind, ws))
         telling, selling = kinds.count(1), kinds.count(2)
         function += telling
         commerce += selling
-        if len(ws) >= 4 and telling >= max(1, 0.09 * len(ws)) and selling <= 0.5 * len(ws):
-            prose += len(ws)
         if len(ws) < 4:
             short += 1
+        elif telling >= max(1, 0.09 * len(ws)) and selling <= 0.5 * len(ws):
+            prose += len(ws)
     lines = [x for x in text.split("\n") if x.strip()]
     link_lines = money_lines = 0
     priced = MONEY.search(text) is not None
