@@ -313,7 +313,7 @@ SELECT thread_id, count(*) AS posts, min(ord) AS first_ord, max(ord) AS last_ord
     "anchored_pairs": f"""WITH {_SPOKEN}, {_SHINGLES.replace('{t}', '0.8').replace('FROM documents', 'FROM spoken')},
 n AS (SELECT count(*) AS found FROM alike), eb AS (SELECT id, n, unnest(s) AS a FROM grams),
 ec AS (SELECT DISTINCT x.id AS later, y.id AS earlier FROM eb x JOIN eb y ON x.a = y.a AND y.id < x.id WHERE least(x.n, y.n) / greatest(x.n, y.n) >= 0.8)
-SELECT any_value(found) AS found, count(*) AS pairs FROM n, ec JOIN grams x ON x.id = later JOIN grams y ON y.id = earlier
+SELECT (SELECT found FROM n) AS found, count(*) AS pairs FROM ec JOIN grams x ON x.id = later JOIN grams y ON y.id = earlier
 WHERE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= 0.8""",
     "greedy_dedup": f"""WITH RECURSIVE {_SHINGLES.replace("{t}", "0.8")},
 nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT later AS id FROM alike)),
