@@ -67,6 +67,9 @@ HARMLESS = """
 Бромни святкують, усіх пригощають.
 Лікар радить обстежити груди.
 За лайку і образи дають бан.
+За «убейся» здесь банят навсегда.
+Написал «сдохни» — получил бан на месяц.
+Сраный телефон, ебучая батарея.
 Процес здох, перезапустив.
 Я дурень, забув пароль.
 Lurvani students won the chess cup.
@@ -110,6 +113,8 @@ You are a teacher and everyone knows it.
 Shut the window, it is cold.
 Calling someone an asshole here gets you banned.
 In the novel he yells at her to go die.
+Writing 'drop dead' in the chat means a week of ban.
+Telling others to 'go die' is forbidden by the rules.
 Die Keshtaren backen gutes Brot.
 Raus mit dem Hund, er muss laufen.
 Ungeziefer im Garten bekämpft man mit Wasser.
@@ -161,6 +166,7 @@ What a dickhead you are, shut your mouth.
 I know where you live and I will bring a knife.
 I will find you and break your neck.
 People like you should be shot.
+Go hang yourself, nobody needs you.
 Looking for a slut, blowjob tonight.
 I uploaded nudes of my ex.
 He fucked her mouth and came on her face.

@@ -16,9 +16,9 @@ STRONG = {
     "harm": "сдохни сдохните здохни подохни убейся убейтесь чтоб_ты_сдох~ чтоб_ты_подох~ чтоб_ты_захлебнул* чтоб_ты_подавил* чтоб_тебя_разорвал* щоб_ти_здох~ щоб_ти_сдох~ "
     "убью_тебя убью_вас тебя_убью зарежу_тебя тебя_зарежу прикончу_тебя тебя_прикончу изобью_тебя придушу задушу_тебя пристрелю_тебя сломаю_тебе тебе_сломаю порву_тебя закопаю_тебя "
     "вб'ю_тебе уб'ю_тебе "
-    "kill_yourself kys go_die drop_dead die_in_ditch burn_in_hell hope_you_die kill_you find_you_break break_your_leg~ break_your_neck break_your_face break_your_bone~ "
+    "повесься hang_yourself kill_yourself kys go_die drop_dead die_in_ditch burn_in_hell hope_you_die kill_you find_you_break break_your_leg~ break_your_neck break_your_face break_your_bone~ "
     "beat_you_up smash_your_face slit_your_throat know_where_you_live знаю_где_ты_живешь знаю_где_вы_живете адрес_твой_знаю твой_адрес_знаю weiss_wo_du_wohnst se_donde_vives таких_усып* таких_топить таких_стрелять таких_вешать как_ты_усып* like_you_put_down like_you_shot verrecke verreck stirb_endlich bring_dich_um stech_dich_ab ojala_te_mueras muerete te_voy_matar",
-    "sexual": "минет~ минетик трахать трахат* трахну* трахал* трахаю* выеба* отъеба* еба* ебли дроч* сиськ~ сисек сисечк~ титьк~ цицьк~ цицьок отсос отсосать отсоси отсосал~ кончил_ей кончил_на_лиц~ кончил_рот "
+    "sexual": "минет~ минетик трахать трахат* трахну* трахал* трахаю* выеба* отъеба* ебать ебал ебала ебут ебет еби ебли дроч* сиськ~ сисек сисечк~ титьк~ цицьк~ цицьок отсос отсосать отсоси отсосал~ кончил_ей кончил_на_лиц~ кончил_рот "
     "сосала_у сосал_у вставил_ей_сзад* порно_бывш* выложил*_порн* голые_сис* "
     "blowjob~ handjob~ cumshot~ fuck_you_all fuck_her fuck_him fucked_her fucked_him sucked_his suck_my sucking_my came_over_her came_on_her porn_my_ex porn_girlfriend nudes horny ficken fickt titten muschi follar* tetas mamada te_follo chupame",
     "hate": "недочеловек~ нелюдь нелюди унтерменш~ subhuman~ subhumans untermensch* genetisch_dumm генетически_туп* "
@@ -36,13 +36,13 @@ WEAK = {
     "сломаю сломать вбити вбив~ убив~ морду ребра кишки "
     "kill kills killed shoot shot hang stab burn~ break beat hammer knife bullet~ drown choke strangle slit throat skull bury legs bones die dies dead "
     "tot sterben stirbt umbringen erschiessen schlagen matar mata muer~ golpe~",
-    "sexual": "порно порнуха порнушк~ порев* сосал~ кончил кончила вставил вставила голый голая голое голые голых голую голой голи голи голе гола голу догола раздеть раздев* разден* раздет~ роздяг* обнажен* член члена членом жоп~ попк~ груд~ грудь анал анальн* секс секса сексом сексуальн* эрот* интим* вагин~ киск~ оргазм~ сперм~ проститут* голых телк~ "
+    "sexual": "отыме* порно порнуха порнушк~ порев* сосал~ кончил кончила вставил вставила голый голая голое голые голых голую голой голи голи голе гола голу догола раздеть раздев* разден* раздет~ роздяг* обнажен* член члена членом жоп~ попк~ груд~ грудь анал анальн* секс секса сексом сексуальн* эрот* интим* вагин~ киск~ оргазм~ сперм~ проститут* голых телк~ "
     "porn porno naked nude~ tits boobs cock~ dick~ pussy cum cumming came sucked suck sucking ass butt anal sex sexy sexual strip undress panties hooker orgy fuck fucked fucks blow breast~ nipples "
     "fick nackt~ ausziehen schwanz blasen busen polla verga cono desnud~ sexo culo",
     "hate": "не_люди не_людина keine_menschen not_people no_son_personas без_них_чище cleaner_without порядка_не_будет they_are_animals место_в_клетк* сидеть_в_клетк* "
     "паразит~ крыс~ вор воры ворье ворьем клетк~ гнать гнати выгнать вигнати палками вырезать вирезать тупые тупи тупой тупая грязный грязные брудн~ брудни животные животных скот скотом вонюч* истреб* уничтож* зачист* знищ* "
     "выслать депортир* ненавижу ненавиджу зараз~ саранч~ отребье чурк~ понаехал* "
-    "vermin parasite~ rat rats animals inferior stink~ filthy exterminat* rid deport* deported cages savages apes scum shipped dirty "
+    "plague vermin parasite~ rat rats animals inferior stink~ filthy exterminat* rid deport* deported cages savages apes scum shipped dirty "
     "ungeziefer ratten vieh minderwertig* parasit~ raus dumm dreckig~ ratas rata parasit~ echarlos palos sucios inferiores fuera animales",
 }
 
