@@ -150,11 +150,11 @@ def _cut_spelling(letters: str) -> tuple[int, ...]:
         return (len(letters),)
     known = set(_KNOWN)
     fits = lambda w: w in known or any(w[:k] in _STEMMED and w[k:] in ENDINGS for k in range(len(w) - 3, len(w)) if k > 1)
-    best: list[tuple[float, int, int]] = [(0, 0, 0)] + [(10**6, 0, 0)] * n
+    best: list[tuple[int, int, int]] = [(0, 0, 0)] + [(10**6, 0, 0)] * n
     for end in range(1, n + 1):
         for start in range(max(0, end - 16), end):
             word = low[start:end]
-            lost = 0 if len(word) >= 2 and fits(word) else 0.5 if word in _LETTERS else len(word)  # a one-letter word may be chance
+            lost = 0 if len(word) >= 3 and fits(word) else 1 if word in _LETTERS or word in known else len(word)  # short words may be chance
             rank = (best[start][0] + lost, best[start][1] + 1, start)
             best[end] = min(best[end], rank)
     if best[n][0] > 0.2 * n:
